@@ -15,6 +15,18 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelgraph.llm.suffix_dedup import repeated_bytes
+
+    return repeated_bytes(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelgraph.llm.ngram_jaccard import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelgraph.llm.quality_rules import quality_rules
 
@@ -22,5 +34,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_chars")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op5_suffix_dedup, op9_ngram_jaccard, op10_quality_rules)}
 ORACLES: dict[str, str] = {}

@@ -2,23 +2,25 @@
 
 Documents link when the Jaccard similarity of their sets of five-word shingles is 0.75 or more.
 
-1. One scan hashes every text to its set, keeps (id, size, 128-bit digest) and counts the tokens
-   of the prefixes in mergeable summaries of bounded size (Misra-Gries). Tokens above a threshold
-   that follows the input form the frequent class; there are at most `CAPACITY` of them by
-   construction, so they may be broadcast.
-2. Tokens are ordered: rare ones by hash, then frequent ones by hash. With s tokens of which a
+1. One scan hashes every text to its set and keeps (id, size, 128-bit digest) and the tokens of
+   its prefix in hash order. Documents with equal sets are one class; its smallest id stands for it.
+2. Tokens that several prefixes hold are the frequent class, as a bitmap of fixed size: tokens from
+   a count on, the smallest power of two that leaves `CAPACITY` tokens at most; summaries of bounded
+   size (Misra-Gries) over all tokens add the frequent ones that are late in hash order. A token that falls on
+   a set bit by chance counts as frequent too, for every document alike, which changes no result.
+   Further bitmaps part it into classes of rising counts.
+3. Tokens are ordered by class, the rare ones first, and by hash. With s tokens of which a
    partner may miss s - ceil(0.75 s), a prefix of s - ceil(0.75 s) + 1 rare tokens shares a token
    with every partner. Where rare tokens run out the prefix is extended by frequent ones, dealt
    by hash into parts: each part costs one token more, and then either a rare token or two tokens
    of one part are shared. So rare tokens are indexed singly and frequent ones as 2-combinations
    inside a part. The number of parts follows the size class of the sets, and a document emits
    the combinations of every class a partner can have.
-3. Documents with equal sets are one class, and its smallest id stands for it.
-4. In every index entry the members are verified against the smallest one (a star, so a group of
-   m copies makes m candidates, not m squared). Verified links are joined to components.
+4. In every index entry the members are verified against the best connected one (a star, so a
+   group of m copies makes m candidates, not m squared). Verified links are joined to components.
 5. Entries whose members still lie in several components are completed exactly: members of
-   different components are paired, but only where the triangle inequality on the distances to
-   the star's centre leaves a link possible. The pairs are verified and the components final.
+   different components are paired, but only where their sizes and the triangle inequality on the
+   distances to the star's centre leave a link possible. The pairs are verified and the components final.
 
 No link between different texts is lost: linked documents share an entry, and step 5 leaves out
 only pairs that are already connected or provably below the threshold.
@@ -38,14 +40,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelgraph.llm.common import materialize
+from panelgraph.llm.bitmap import bitmap, in_bitmap
+from panelgraph.llm.common import discard, materialize
 from panelgraph.llm.components import components
 from panelgraph.llm.shingles import digest, mix, shingle_set
 
 #: The similarity, as a fraction.
 NUM, DEN = 3, 4
-CAPACITY = 1 << 16
-MIN_FREQUENT = 256
+CAPACITY = 1 << 22
+#: Tokens of a task's summary.
+KEPT = 1 << 15
+#: Classes beyond the first frequent one start at its least count times these powers of two.
+LEVELS = (2, 4, 6, 8, 10)
+#: Counts in the summaries that make a token frequent.
+SUMMED = 16
+#: Bits of the bitmaps of frequent tokens and of documents to verify.
+TOKEN_BITS, ID_BITS = 27, 23
 #: Tokens of a size class go to 2**class / PART parts.
 PART = 8
 _P1, _P2, _P3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -56,18 +66,21 @@ def needed(s: int) -> int:
     return s - -(-NUM * s // DEN) + 1
 
 
+_SCAN = pa.schema([(c, pa.int64()) for c in ("id", "n", "d1", "d2")] + [("prefix", pa.list_(pa.int64()))])
+SCAN = "id long, n long, d1 long, d2 long, prefix array<long>"
+
+
 class Summary:
-    """Misra-Gries counts of the most frequent tokens of a stream; too low by a bounded amount."""
+    """Misra-Gries counts of the most frequent tokens of a stream: at most KEPT of them, each too low by n / KEPT at most."""
 
     def __init__(self) -> None:
         self.token, self.count = np.empty(0, np.uint64), np.empty(0, np.int64)
         self.waiting: list[np.ndarray] = []
-        self.n = self.total = 0
+        self.n = 0
 
     def add(self, tokens: np.ndarray) -> None:
         self.waiting.append(tokens)
         self.n += len(tokens)
-        self.total += len(tokens)
         if self.n > 1 << 20:
             self.fold()
 
@@ -75,37 +88,49 @@ class Summary:
         new, counts = np.unique(np.concatenate([self.token[:0], *self.waiting]), return_counts=True)
         token, at = np.unique(np.concatenate([self.token, new]), return_inverse=True)
         count = np.bincount(at, np.concatenate([self.count, counts]), len(token)).astype(np.int64)
-        if len(token) > CAPACITY:
-            count -= np.partition(count, len(count) - CAPACITY - 1)[len(count) - CAPACITY - 1]
+        if len(token) > KEPT:
+            count -= np.partition(count, len(count) - KEPT - 1)[len(count) - KEPT - 1]
         self.token, self.count = token[count > 0], count[count > 0]
         self.waiting, self.n = [], 0
 
 
-_SCAN = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("kind", pa.int32())])
-SCAN = "id long, n long, d1 long, d2 long, kind int"
-
-
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind 0: a document's size and digest; kind 1: a token (d1) and its count (n); kind 2: all tokens counted (n)."""
+    """Documents; and last, with n below 0, the summary of all their tokens: d1 a token, -n its count."""
     seen = Summary()
     for batch in batches:
-        n, d1, d2 = [], [], []
-        for text in batch.column(1):
-            s = shingle_set(text.as_py())
-            n.append(len(s))
-            a, b = digest(s)
-            d1.append(a)
-            d2.append(b)
-            if len(s) > 1:
-                seen.add(s[: needed(len(s))])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array([0] * len(n), pa.int32())], schema=_SCAN)
+        for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
+            sets = [shingle_set(t.as_py()) for t in part.column(1)]
+            seen.add(np.concatenate(sets))
+            marks = [digest(s) for s in sets]
+            cuts = [s[: needed(len(s))] if len(s) > 2 else s[:0] for s in sets]
+            ends = np.cumsum([0, *map(len, cuts)]).astype(np.int32)
+            prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(cuts).view(np.int64)))
+            cols = [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), prefix]
+            yield pa.RecordBatch.from_arrays(cols, schema=_SCAN)
     seen.fold()
     k = len(seen.token)
-    zero = pa.array(np.zeros(k + 1, np.int64))
-    yield pa.RecordBatch.from_arrays(
-        [zero, pa.array(np.append(seen.count, seen.total)), pa.array(np.append(seen.token, np.uint64(0)).view(np.int64)), zero, pa.array(np.append(np.ones(k, np.int32), np.int32(2)))],
-        schema=_SCAN,
-    )
+    yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.array(-seen.count), pa.array(seen.token.view(np.int64)), pa.nulls(k, pa.int64()), pa.nulls(k, _SCAN[4].type)], schema=_SCAN)
+
+
+def frequent_tokens(prefixes: DataFrame, summaries: DataFrame) -> list[np.ndarray]:
+    """Bitmaps of tokens (sig) that several prefixes hold, from an adaptive count on and from higher ones.
+
+    Tokens late in hash order are in few prefixes; summaries (sig, count) of all tokens add the frequent ones.
+    """
+    found = prefixes.groupBy("sig").count().where("count > 1")
+    summed = summaries.groupBy("sig").agg(F.sum("count").alias("count")).where(F.col("count") >= SUMMED)
+    counts = materialize(found.unionByName(summed).groupBy("sig").agg(F.max("count").alias("count")), "token-counts")
+    sizes = counts.groupBy(F.floor(F.log2("count")).cast("int").alias("k")).agg(F.count("*").alias("n")).collect()  # a row a power of two
+    k, total = 64, 0
+    for row in sorted(sizes, key=lambda r: -r["k"]):
+        total += row["n"]
+        if total > CAPACITY:
+            break
+        k = row["k"]
+    least = [(2.0**k, TOKEN_BITS), *((2.0 ** (k + step), TOKEN_BITS - 3) for step in LEVELS)]
+    out = [bitmap(counts.where(F.col("count") >= c).select(F.col("sig").alias("h")), bits) for c, bits in least]
+    discard(counts)
+    return out
 
 
 def classes_of_partners(s: int) -> range:
@@ -113,19 +138,18 @@ def classes_of_partners(s: int) -> range:
     return range((-(-NUM * s // DEN)).bit_length() - 1, (DEN * s // NUM).bit_length())
 
 
-def signatures(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """The index entries of a sorted token set."""
+def signatures(s: np.ndarray, frequent: list[np.ndarray]) -> np.ndarray:
+    """The index entries of a sorted token set; frequent is the bitmaps of the classes."""
     size = len(s)
     if size < 3:  # such a set links with equal ones only, and those are one class
         return np.empty(0, np.uint64)
     need = needed(size)
-    if not len(frequent):
-        return s[:need]
-    common = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
-    rare = s[~common]
+    level = sum(in_bitmap(f, s).astype(np.int8) for f in frequent)
+    rare = s[level == 0]
     if len(rare) >= need:
         return rare[:need]
-    out, often, need = [rare], s[common], need - len(rare)
+    often = np.argsort(level, kind="stable")[len(rare) :]
+    out, often, need = [rare], s[often], need - len(rare)
     for c in classes_of_partners(size):
         parts = max(1, (1 << c) // PART)
         part = (often >> np.uint64(20)) % np.uint64(parts)
@@ -140,10 +164,12 @@ def signatures(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _emit(frequent: np.ndarray):
+def _emit(shared):
+    """shared: a broadcast of the bitmap of frequent tokens."""
     schema = pa.schema([("sig", pa.int64()), ("id", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = shared.value
         for batch in batches:
             for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
                 sigs = [signatures(shingle_set(t.as_py()), frequent) for t in part.column(1)]
@@ -153,31 +179,32 @@ def _emit(frequent: np.ndarray):
     return run
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text, centres) to (id, centre, tokens), one row for each centre."""
-    schema = pa.schema([("id", pa.int64()), ("centre", pa.int64()), ("tokens", pa.list_(pa.int64()))])
-    for batch in batches:
-        for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
-            ids, centres, tokens = [], [], []
-            for i, text, to in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                s = shingle_set(text).view(np.int64)
-                for c in to:
-                    ids.append(i)
-                    centres.append(c)
-                    tokens.append(s)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(centres, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], schema=schema)
+def _sets(wanted):
+    """(id, text) to (id, tokens) of the ids in a broadcast bitmap."""
+    schema = pa.schema([("id", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            hits = np.flatnonzero(in_bitmap(wanted.value, ids))
+            for part in (hits[i : i + 500] for i in range(0, len(hits), 500)):
+                tokens = [shingle_set(batch.column(1)[k].as_py()).view(np.int64) for k in part.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[part]), pa.array(tokens, pa.list_(pa.int64()))], schema=schema)
+
+    return run
 
 
 def verify(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id, centre) with same and all, the sizes of intersection and union of their sets.
 
-    Every text travels once by its id; each set goes to its centres, whose sets join them there.
+    The sets of about the documents in pairs are hashed anew (a bitmap of fixed size says which)
+    and travel once by id and once to their centre, where they meet the centre's set.
     """
-    to = pairs.groupBy("id").agg(F.collect_set("centre").alias("centres"))
-    sets = "id long, centre long, tokens array<long>"
-    mine = texts.join(to, "id").mapInArrow(_sets, sets)
-    hubs = pairs.select(F.col("centre").alias("id")).distinct().withColumn("centres", F.array("id"))
-    hubs = texts.join(hubs, "id").mapInArrow(_sets, sets).select("centre", F.col("tokens").alias("hub"))
+    ids = pairs.select(F.col("id").alias("h")).unionByName(pairs.select(F.col("centre").alias("h")))
+    wanted = texts.sparkSession.sparkContext.broadcast(bitmap(ids, ID_BITS))
+    sets = texts.mapInArrow(_sets(wanted), "id long, tokens array<long>")
+    mine = sets.join(pairs, "id")
+    hubs = sets.join(pairs.select(F.col("centre").alias("id")).distinct(), "id").select(F.col("id").alias("centre"), F.col("tokens").alias("hub"))
     same = F.size(F.array_intersect("tokens", "hub")).cast("long")
     return mine.join(hubs, "centre").select("id", "centre", same.alias("same"), (F.size("tokens") + F.size("hub") - same).alias("all"))
 
@@ -191,23 +218,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     scan = materialize(rows.mapInArrow(_scan, SCAN), "shingle-scan")
-    members = scan.where("kind = 0")
-    total = scan.where("kind = 2").agg(F.sum("n")).first()[0] or 0
-    least = max(MIN_FREQUENT, total // CAPACITY)  # so at most CAPACITY tokens reach it
-    often = scan.where("kind = 1").groupBy("d1").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("d1").toPandas()
-    frequent = np.sort(often["d1"].to_numpy(np.int64).view(np.uint64))
-
+    members = scan.where("n >= 0").drop("prefix")
+    prefixes = scan.where("id is not null").select(F.explode("prefix").alias("sig"))
+    frequent = frequent_tokens(prefixes, scan.where("n < 0").select(F.col("d1").alias("sig"), (-F.col("n")).alias("count")))
     named = members.where("id is not null and n > 0")
     group = named.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"))
-    rep = named.join(group, ["d1", "d2", "n"]).select("id", "rep").distinct()
+    rep = named.join(group, ["d1", "d2", "n"]).select("id", "rep", "n").distinct()
     rep = materialize(rep, "class-of")
 
     texts = rows.where("id is not null and text is not null")
-    entries = texts.mapInArrow(_emit(frequent), "sig long, id long")
+    entries = texts.mapInArrow(_emit(spark.sparkContext.broadcast(frequent)), "sig long, id long")
     entry = Window.partitionBy("sig")
     shared = entries.select("sig", "id", F.min("id").over(entry).alias("lo"), F.max("id").over(entry).alias("hi")).where("lo <> hi")
-    shared = shared.select("sig", "id").join(rep.where("id is not null"), "id").select("sig", "rep").distinct()
-    shared = materialize(shared.select("sig", F.col("rep").alias("id"), F.min("rep").over(entry).alias("centre")), "entries")
+    shared = shared.select("sig", "id").join(rep, "id").select("sig", "rep", "n").distinct()
+    shared = shared.select("sig", F.col("rep").alias("id"), "n", F.count("*").over(entry).alias("size"))
+    # The centre of an entry is the member whose entries hold most members: of edited copies the original.
+    score = shared.groupBy("id").agg(F.sum("size").alias("score"))
+    best = F.max(F.struct(F.col("score"), -F.col("id"))).over(entry)
+    shared = materialize(shared.join(score, "id").select("sig", "id", "n", (-best["col2"]).alias("centre")), "entries")
 
     pairs = shared.where("id <> centre").select("id", "centre").distinct()
     checked = materialize(verify(texts, pairs), "checked")
@@ -223,13 +251,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def completed(texts: DataFrame, shared: DataFrame, checked: DataFrame, found: DataFrame) -> DataFrame:
     """The links (a, b) between members of one entry that the stars left in different components."""
     limit = 1 - NUM / DEN
-    at = shared.join(found, shared["id"] == found["node"], "left").select("sig", "id", "centre", F.coalesce("component", "id").alias("comp"))
+    at = shared.join(found, shared["id"] == found["node"], "left").select("sig", "id", "n", "centre", F.coalesce("component", "id").alias("comp"))
     mixed = at.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
     far = checked.groupBy("id", "centre").agg(F.max(1 - F.col("same") / F.col("all")).alias("far"))
-    at = at.join(mixed, "sig").join(far, ["id", "centre"], "left").select("sig", "id", "comp", F.coalesce("far", F.lit(0.0)).alias("far"))
+    at = at.join(mixed, "sig").join(far, ["id", "centre"], "left").select("sig", "id", "n", "comp", F.coalesce("far", F.lit(0.0)).alias("far"))
     at = at.withColumn("band", F.floor(F.col("far") / limit))
-    other = at.select("sig", F.col("id").alias("id2"), F.col("comp").alias("comp2"), F.col("far").alias("far2"), F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)])).alias("band"))
+    other = at.select("sig", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"), F.col("far").alias("far2"), F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)])).alias("band"))
     near = (F.col("comp") > F.col("comp2")) & (F.abs(F.col("far") - F.col("far2")) <= limit + 1e-9)
+    near = near & (DEN * F.least("n", "n2") >= NUM * F.greatest("n", "n2"))
     pairs = at.join(other, ["sig", "band"]).where(near).select("id", F.col("id2").alias("centre")).distinct()
     pairs = materialize(pairs, "rest")
     return verify(texts, pairs).where(_linked()).select(F.col("id").alias("a"), F.col("centre").alias("b"))

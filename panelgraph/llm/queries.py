@@ -15,6 +15,24 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelgraph.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("offending")
+
+
+def op3_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelgraph.llm.rule_ensemble import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelgraph.llm.language_id import languages
+
+    return languages(table(spark, sf_dir, "documents"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelgraph.llm.suffix_dedup import repeated_bytes
 
@@ -34,5 +52,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_chars")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op5_suffix_dedup, op9_ngram_jaccard, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_toxicity, op3_rule_ensemble, op4_language_id, op5_suffix_dedup, op9_ngram_jaccard, op10_quality_rules)}
 ORACLES: dict[str, str] = {}

@@ -3,9 +3,9 @@
 Every byte that lies in a 100-byte string which also starts earlier (in a smaller document id,
 or earlier in the same document) is removed.
 
-1. Each string of 100 bytes has one key: the least hash among its 16-byte pieces. Equal strings
+1. Each string of 100 bytes has one key: the least hash among its 32-byte pieces. Equal strings
    have equal keys, so they can only meet inside a key. A run of consecutive starts with one key
-   is a segment; there is about one per 43 bytes. A scan emits (key, document, start, hash of the
+   is a segment; there is about one per 35 bytes. A scan emits (key, document, start, hash of the
    segment's bytes), never the bytes.
 2. Inside a key, equal segments are one: its first occurrence owns it and all starts of the others
    are repeats. A segment is settled if its key has no other one and does not recur inside it.
@@ -35,10 +35,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelgraph.llm.bitmap import bitmap, rows_where
+from panelgraph.llm.common import materialize
 from panelgraph.llm.suffix_array import common_prefixes, suffix_array
 
 LENGTH = 100
-PIECE = 16
+PIECE = 32
+#: Bits of the bitmap of documents whose text has to travel.
+ID_BITS = 23
 SHARD = 1 << 20
 #: Starts in a segment at most; longer runs are cut, which changes no key.
 RUN = 1 << 14
@@ -48,12 +52,13 @@ _ORDER = ("id", "th", "at")
 
 
 def _pieces(data: bytes) -> np.ndarray:
-    """The hash of the 16 bytes at each position that has them."""
+    """The hash of the 32 bytes at each position that has them."""
     n = len(data) - PIECE + 1
-    word = np.ndarray((n + 8,), "<u8", data, 0, (1,))
+    word = np.ndarray((n + PIECE - 8,), "<u8", data, 0, (1,))
     h = word[:n] * _P1
-    h ^= h >> np.uint64(29)
-    h += word[8:] * _P2
+    for k in range(8, PIECE, 8):
+        h ^= h >> np.uint64(29)
+        h += word[k : n + k] * _P2
     h ^= h >> np.uint64(32)
     h *= _P1
     h ^= h >> np.uint64(29)
@@ -94,8 +99,10 @@ def _is_key(h: np.ndarray, least: np.ndarray, width: int) -> np.ndarray:
     return (h == least[start]) | (h == least[before])
 
 
-_SCAN = pa.schema([(c, pa.int64()) for c in ("key", "id", "th", "at", "n", "seg")] + [("inner", pa.bool_())])
-SCAN = "key long, id long, th long, at long, n long, seg long, inner boolean"
+#: A segment's place in one long: its first start, whether it may hold its key twice, its number of starts.
+_N = 1 << 15
+_SCAN = pa.schema([(c, pa.int64()) for c in ("key", "id", "th", "place", "seg")])
+SCAN = "key long, id long, th long, place long, seg long"
 
 
 def _bytes(text: str | None) -> bytes:
@@ -114,7 +121,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 data = _bytes(text.as_py())
                 view = memoryview(data)
                 for key, at, n, inner in segments(data):
-                    for col, x in zip(cols, (key, i, th, at, n, _long(xxhash.xxh3_64_intdigest(view[at : at + n + LENGTH - 1])), inner), strict=True):
+                    for col, x in zip(cols, (key, i, th, (at * 2 + inner) * _N + n, _long(xxhash.xxh3_64_intdigest(view[at : at + n + LENGTH - 1]))), strict=True):
                         col.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _SCAN, strict=True)], schema=_SCAN)
 
@@ -251,25 +258,40 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id_col, n_bytes, n_removed, n_spans, kept_sha256, spans."""
-    rows = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"),
-        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"),
-        F.col(text_col).alias("text"),
-    )
+    spark = docs.sparkSession
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"))
+    # Where ids are unique, as they should be, no hash is needed to tell documents apart.
+    unique = rows.groupBy("id").count().where("count > 1").isEmpty()
+    hashed = F.lit(0).cast("long") if unique else F.xxhash64(F.coalesce("text", F.lit("")))
+    rows = rows.select("id", hashed.alias("th"), "text")
     scan = rows.mapInArrow(_scan, SCAN)
     key, same = Window.partitionBy("key"), Window.partitionBy("key", "seg")
     # Equal documents (id and text) own a segment together, hence the comparison by value.
-    scan = scan.withColumn("first", F.min(F.struct(*_ORDER)).over(same)).withColumn("lo", F.min("seg").over(key)).withColumn("hi", F.max("seg").over(key))
-    owner = F.struct(*_ORDER) == F.col("first")
-    copies = scan.where(~owner).select("id", "th", "at", "n")
-    open_ = scan.where(owner & ((F.col("lo") != F.col("hi")) | F.col("inner"))).select("id", "th", F.struct("key", "at", "n").alias("w"))
-    wanted = open_.groupBy("id", "th").agg(F.collect_set("w").alias("wanted"))
-    cut = rows.join(wanted, ["id", "th"]).select("id", "th", "text", "wanted").mapInArrow(_cut, CUT)
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    marks = cut.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_sort_shards, MARK)
+    scan = scan.withColumn("first", F.min(F.struct("id", "th", "place")).over(same)).withColumn("lo", F.min("seg").over(key)).withColumn("hi", F.max("seg").over(key))
+    inner = F.shiftright("place", 15).bitwiseAND(1) == 1
+    scan = scan.withColumn("copy", F.struct("id", "th", "place") != F.col("first"))
+    scan = scan.where(F.col("copy") | (F.col("lo") != F.col("hi")) | inner)
+    place = [F.shiftright("place", 16).alias("at"), F.col("place").bitwiseAND(_N - 1).alias("n")]
+    scan = materialize(scan.select("key", "id", "th", *place, "copy"), "segments")
+    wanted = scan.where("not copy").groupBy("id", "th").agg(F.collect_set(F.struct("key", "at", "n")).alias("wanted"))
+    texts = rows_where(rows, "id", _ids(scan.where("not copy")), True)
+    cut = texts.join(wanted, ["id", "th"]).select("id", "th", "text", "wanted").mapInArrow(_cut, CUT)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    marks = materialize(cut.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_sort_shards, MARK), "marks")
     over = Window.partitionBy("d1", "d2")
-    later = marks.where("d1 is not null").withColumn("first", F.min(F.struct(*_ORDER)).over(over)).where(~owner).select("id", "th", "at", "n")
-    ranges = copies.unionByName(marks.where("d1 is null").select("id", "th", "at", "n")).unionByName(later)
+    later = marks.where("d1 is not null").withColumn("first", F.min(F.struct(*_ORDER)).over(over)).where(F.struct(*_ORDER) != F.col("first"))
+    parts = [scan.where("copy"), marks.where("d1 is null"), later]
+    ranges = parts[0].select("id", "th", "at", "n")
+    for p in parts[1:]:
+        ranges = ranges.unionByName(p.select("id", "th", "at", "n"))
+    touched = _ids(parts[0].select("id").unionByName(marks.select("id")))
     ranges = ranges.groupBy("id", "th").agg(F.collect_list(F.struct("at", "n")).alias("marks"))
-    out = rows.join(ranges, ["id", "th"], "left").select("id", "text", "marks").mapInArrow(_remove, OUT)
+    out = rows_where(rows, "id", touched, True).join(ranges, ["id", "th"], "left").select("id", "text", "marks").mapInArrow(_remove, OUT)
+    whole = rows_where(rows, "id", touched, False).select("id", "text", F.expr("cast(null as array<struct<at:bigint,n:bigint>>)").alias("marks"))
+    out = out.unionByName(whole.mapInArrow(_remove, OUT))
     return out.select(F.when(F.col("id") != NO_ID, F.col("id")).alias(id_col), *out.columns[1:])
+
+
+def _ids(rows: DataFrame):
+    """A broadcast bitmap, of fixed size, of the ids in rows."""
+    return rows.sparkSession.sparkContext.broadcast(bitmap(rows.select(F.col("id").alias("h")), ID_BITS))

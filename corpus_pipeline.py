@@ -3,10 +3,68 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from panelgraph.llm.common import materialize, table
+from panelgraph.llm.queries import SHARDS
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose noisy-or of sentence scores stays below one half; all columns stay."""
+    from panelgraph.llm.toxicity import learn, score_documents
+
+    scored = score_documents(docs, learn(docs, table(spark, sf_dir, "labels")), docs.columns)
+    return scored.where("score_ < 0.5").select(*docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by shingle similarity the one with the smallest id; others stay as they are."""
+    from panelgraph.llm.ngram_jaccard import jaccard_components
+
+    found = jaccard_components(docs)
+    dropped = found.where("component_id <> doc_id").select("doc_id")
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item within the error budget."""
+    from panelgraph.llm.decontamination import clean
+
+    return clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    from panelgraph.llm.mixing import mix
+
+    taken = mix(docs, carry=docs.columns)
+    repeats = F.explode(F.sequence(F.lit(1), F.col("copies")))
+    return taken.where("copies > 0").withColumn("copy_", repeats).select(*docs.columns)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row with its shard and slot."""
+    from panelgraph.llm.sharding import shard_rows
+
+    return shard_rows(docs, SHARDS, carry=docs.columns)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard", one_of_each_group),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix_sources),
+    ("sharding", shard),
+]
+#: Toxicity, decontamination and mixing are not expressible in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The documents table through all stages, each written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialize(docs, name)
+    return docs

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from panelgraph.llm.common import table
 
 SHARDS = 8
+#: The key of the pseudonyms; a deployment passes its own secret to the operator.
+PII_KEY = "example"
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +41,24 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_bytes(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelgraph.llm.decontamination import matches
+
+    return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelgraph.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelgraph.llm.pii import pseudonymise
+
+    return pseudonymise(table(spark, sf_dir, "documents"), PII_KEY)
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelgraph.llm.ngram_jaccard import jaccard_components
 
@@ -52,5 +72,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_chars")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_toxicity, op3_rule_ensemble, op4_language_id, op5_suffix_dedup, op9_ngram_jaccard, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_toxicity, op3_rule_ensemble, op4_language_id, op5_suffix_dedup, op6_decontamination, op7_mixing, op8_pii, op9_ngram_jaccard, op10_quality_rules)}
 ORACLES: dict[str, str] = {}

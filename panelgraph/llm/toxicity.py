@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelgraph.llm.common import is_held_out
 from panelgraph.llm.labelled import sample
@@ -147,7 +148,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
 def score_documents(docs: DataFrame, model: Model, carry: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, the carried columns, score, and offending: an array of (start, end, score) of sentences."""
     keep = [c for c in carry if c not in ("score_", "offending_")]
-    schema = docs.select(*keep).schema.add("score_", "double").add("offending_", "array<struct<start:int,end:int,score:double>>")
+    added = T.StructType.fromDDL("score_ double, offending_ array<struct<start:int,end:int,score:double>>")
+    schema = T.StructType(docs.select(*keep).schema.fields + added.fields)
     where = keep.index(text_col)
     found = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 

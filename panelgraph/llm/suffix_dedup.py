@@ -85,20 +85,16 @@ def segments(data: bytes, length: int = LENGTH) -> list[tuple[int, int, int, boo
         nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
         key, begin, count = (np.repeat(x, parts) for x in (key, begin, count))
         begin, count = begin + nth * RUN, np.minimum(count - nth * RUN, RUN)
-    # Whether a segment may hold its key twice, counted over pieces that are some string's key.
-    hits = np.concatenate([[0], np.cumsum(_is_key(h, least, width))])
-    inner = hits[np.minimum(begin + count + width - 1, len(h))] - hits[begin] > 1
+    # Whether the key's piece occurs twice within a segment of two or more starts.
+    more = np.flatnonzero(count > 1)
+    spans = count[more] + width - 1
+    at = np.arange(spans.sum()) - np.repeat(np.cumsum(spans) - spans, spans) + np.repeat(begin[more], spans)
+    hits = np.concatenate([[0], np.cumsum(h[at] == np.repeat(key[more], spans))])
+    inner = np.zeros(len(key), bool)
+    inner[more] = np.diff(hits[np.concatenate([[0], np.cumsum(spans)])]) > 1
     return list(zip(key.view(np.int64).tolist(), begin.tolist(), count.tolist(), inner.tolist(), strict=True))
 
 
-def _is_key(h: np.ndarray, least: np.ndarray, width: int) -> np.ndarray:
-    """Positions whose hash is the key of some string that holds them: a superset of recurrences inside a segment."""
-    n, m = len(h), len(least)
-    start = np.clip(np.arange(n), 0, m - 1)
-    before = np.clip(np.arange(n) - width + 1, 0, m - 1)
-    return (h == least[start]) | (h == least[before])
-
-
 #: A segment's place in one long: its first start, whether it may hold its key twice, its number of starts.
 _N = 1 << 15
 _SCAN = pa.schema([(c, pa.int64()) for c in ("key", "id", "th", "place", "seg")])

@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 def bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
     """The bits `h mod 2**bits` of a bigint column `h`, as bytes; of fixed size, whatever the input."""
     bit = F.col("h").bitwiseAND((1 << bits) - 1)
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(31).cast("int"))
-    rows = hashes.select(F.shiftright(bit, 5).alias("w"), one.alias("b"))
+    one = F.call_function("shiftleft", F.lit(1), bit.bitwiseAND(31).cast("int"))
+    rows = hashes.select(F.shiftright(bit, 5).cast("int").alias("w"), one.alias("b"))
     found = rows.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
     out = np.zeros(1 << (bits - 5), "<u4")
-    out[found["w"].to_numpy(np.int64)] = found["b"].to_numpy(np.int64).astype(np.uint32)
+    out[found["w"].to_numpy(np.int32)] = found["b"].to_numpy(np.int32).view(np.uint32)
     return out.view(np.uint8)
 
 

@@ -55,7 +55,7 @@ LEVELS = (2, 4, 6, 8, 10)
 #: Counts in the summaries that make a token frequent.
 SUMMED = 16
 #: Bits of the bitmaps of frequent tokens and of documents to verify.
-TOKEN_BITS, ID_BITS = 27, 23
+TOKEN_BITS, ID_BITS = 25, 22
 #: Tokens of a size class go to 2**class / PART parts.
 PART = 8
 _P1, _P2, _P3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -127,7 +127,7 @@ def frequent_tokens(prefixes: DataFrame, summaries: DataFrame) -> list[np.ndarra
         if total > CAPACITY:
             break
         k = row["k"]
-    least = [(2.0**k, TOKEN_BITS), *((2.0 ** (k + step), TOKEN_BITS - 3) for step in LEVELS)]
+    least = [(2.0**k, TOKEN_BITS), *((2.0 ** (k + step), TOKEN_BITS - 2) for step in LEVELS)]
     out = [bitmap(counts.where(F.col("count") >= c).select(F.col("sig").alias("h")), bits) for c, bits in least]
     discard(counts)
     return out

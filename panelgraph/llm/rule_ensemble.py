@@ -169,6 +169,9 @@ def fit(x: np.ndarray, y: np.ndarray, share: float | None) -> RuleModel:
     if len(y) == 0 or y.min() == y.max():
         return RuleModel((), (), 0.0 if len(y) == 0 else 30.0 if y[0] else -30.0)
     rules = grow_rules(x, y)
+    if not rules:  # too few rows, or statistics that do not differ
+        p = min(max(share if share is not None else y.mean(), 1e-4), 1 - 1e-4)
+        return RuleModel((), (), float(np.log(p / (1 - p))))
     z = np.stack([r.holds(x) for r in rules], axis=1).astype(float)
     support = z.mean(axis=0)
     uses = np.flatnonzero((support > 0) & (support < 1))

@@ -1,0 +1,337 @@
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from panelgraph.llm import toxicity as tox
+from panelgraph.llm.components import components
+from panelgraph.llm.decontamination import Index, clean, least_distance, matches, normalise
+from panelgraph.llm.language_id import fit as fit_language
+from panelgraph.llm.language_id import languages
+from panelgraph.llm.mixing import min_cost_flow, mix, targets
+from panelgraph.llm.ngram_jaccard import jaccard_components, needed, signatures
+from panelgraph.llm.pii import pseudonymise
+from panelgraph.llm.quality_rules import quality_rules
+from panelgraph.llm.rule_ensemble import fit as fit_rules
+from panelgraph.llm.rule_ensemble import quality
+from panelgraph.llm.sharding import shard_rows
+from panelgraph.llm.suffix_array import common_prefixes, suffix_array
+from panelgraph.llm.suffix_dedup import repeated_bytes, repeats
+
+SCHEMA = "doc_id long, text string, lang string, source string, size long, kept string"
+
+
+def prose(rng, n):
+    return " ".join("".join(rng.choice("abcdeghilmnorstu") for _ in range(rng.randint(2, 7))) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def rows():
+    """Nulls, empty and long texts, copies, near copies, repeated rows and columns with clashing names."""
+    rng = random.Random(5)
+    base, line = prose(rng, 80), prose(rng, 40)
+    near = base.split()
+    near[10] = "changed"
+    texts = [base, base, " ".join(near), prose(rng, 60) + "\n" + line, line + ". " + prose(rng, 50), None, "", "  \n", "two words", "two words", prose(rng, 3000), "Aa aA aa AA aa", "ü" * 150, "z" * 400, "ab" * 120]
+    out = [(k, t, "xx" if k % 2 else None, None if k == 3 else f"s{k % 3}", -1, "no") for k, t in enumerate(texts)]
+    return [*out, out[0], (None, "no id here", None, None, None, None)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def labels_of(spark, n=60):
+    return spark.createDataFrame([(k, k % 2, int(k % 3 == 0)) for k in range(n)], "doc_id long, quality int, toxic int")
+
+
+def test_sharding_is_a_seeded_bijection(spark, docs, empty, rows):
+    got = shard_rows(docs, 4).collect()
+    assert len(got) == len(rows)
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r.shard].append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())
+    assert max(map(len, by.values())) - min(map(len, by.values())) <= 1
+    again = shard_rows(docs.repartition(7), 4).collect()
+    key = lambda r: (str(r.doc_id), r.shard, r.slot)
+    assert sorted(map(key, got)) == sorted(map(key, again))
+    one = next(r for r in got if r.doc_id == 12)
+    assert (one.size, one.text_crc32) == (301, zlib.crc32(("ü" * 150).encode()))
+    assert {r.size for r in got if r.doc_id == 5} == {1}
+    assert shard_rows(empty, 4).count() == 0
+
+
+def test_quality_rules_count_like_a_plain_loop(docs, empty, rows, spark):
+    word = re.compile(r"[^\x20\x09-\x0D]+")
+
+    def plain(x):
+        w = word.findall(x or "")
+        c = collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+        cover = {j for i in range(len(w) - 4) if c[tuple(w[i : i + 5])] > 1 for j in range(i, i + 5)}
+        lines = [y for y in (x or "").split("\n") if word.search(y)]
+        return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", x or "")), len(lines) - len(set(lines)), len(cover)
+
+    rng = random.Random(2)
+    extra = [(100 + k, " ".join(rng.choice(["a", "b", "#c", "d\n", "|"]) for _ in range(rng.randint(0, 60))), None, None, 0, "") for k in range(40)]
+    df = docs.unionByName(spark.createDataFrame(extra, SCHEMA))
+    text = {r[0]: r[1] for r in [*rows, *extra]}
+    for r in quality_rules(df).collect():
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == plain(text[r.doc_id])
+        assert not (r.kept and r.base_failed)
+    assert quality_rules(empty).count() == 0
+
+
+def test_quality_rules_drop_menus_and_keep_prose(spark):
+    body = ". ".join(prose(random.Random(k), 9) for k in range(12)) + "."
+    rows = [(1, "home | about | shop | login\n" + body), (2, "\n".join(["home | about | shop | login"] * 1 + [f"a{k} | b{k} | c{k} | d{k}" for k in range(20)]))]
+    got = {r.doc_id: r for r in quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].kept and got[1].clean_text == body and got[1].failed_rules == ["navigation"]
+    assert not got[2].kept and not got[2].base_failed
+
+
+def test_suffix_arrays_match_sorting():
+    rng = random.Random(1)
+    for _ in range(120):
+        s = [rng.randint(1, rng.choice([1, 2, 20])) for _ in range(rng.randint(1, 120))] + [0]
+        t = np.array(s, np.uint16)
+        sa = suffix_array(t, 32)
+        assert sa.tolist() == sorted(range(len(s)), key=lambda i: s[i:])
+        lcp = common_prefixes(t, sa, 9)
+        for r in range(1, len(s)):
+            a, b = s[sa[r - 1] :], s[sa[r] :]
+            n = next(k for k in range(len(a) + 1) if k >= min(len(a), len(b)) or a[k] != b[k])
+            assert min(n, 9) == min(lcp[sa[r]], 9)
+
+
+def brute_removed(rows):
+    first, out = {}, {}
+    for i, text in sorted(((NO if r[0] is None else r[0], r[1] or "") for r in dict.fromkeys((x[0], x[1]) for x in rows)), key=lambda x: x):
+        b = text.encode()
+        mark = bytearray(len(b))
+        for p in range(len(b) - 99):
+            if first.setdefault(b[p : p + 100], (i, p)) != (i, p):
+                mark[p : p + 100] = b"\1" * 100
+        kept = bytes(c for c, m in zip(b, mark, strict=True) if not m)
+        out[i] = (len(b), sum(mark), len(re.findall(b"\x01+", bytes(mark))), hashlib.sha256(kept).hexdigest())
+    return out
+
+
+NO = -1
+
+
+def test_repeated_bytes_match_brute_force(spark, docs, empty, rows):
+    want = brute_removed(rows)
+    got = repeated_bytes(docs).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[NO if r.doc_id is None else r.doc_id]
+    assert repeated_bytes(empty).count() == 0
+
+
+def test_a_key_split_over_shards_gives_the_same_repeats(spark, docs, rows, monkeypatch):
+    from panelgraph.llm import suffix_dedup
+
+    monkeypatch.setattr(suffix_dedup, "SHARD", 200)
+    want = brute_removed(rows)
+    for r in repeated_bytes(docs).collect():
+        assert (r.n_removed, r.kept_sha256) == (want[NO if r.doc_id is None else r.doc_id][1], want[NO if r.doc_id is None else r.doc_id][3])
+    parts = [(1, 0, 0, 3, b"a" * 102), (2, 0, 5, 1, b"a" * 100)]
+    seg, off = repeats(parts)
+    assert sorted(zip(seg.tolist(), off.tolist(), strict=True)) == [(0, 1), (0, 2), (1, 0)]
+
+
+def brute_components(rows):
+    low = {i: i + 32 for i in range(65, 91)}
+    sets = {}
+    for r in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (r[1] or "").translate(low))
+        sets[r[0]] = {tuple(w)} if 0 < len(w) < 5 else {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    comp = {i: i for i in sets if i is not None}
+    for a in comp:
+        for b in comp:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = comp[a], comp[b]
+                comp = {k: min(x, y) if v in (x, y) else v for k, v in comp.items()}
+    return {i: (len(sets[i]), comp.get(i)) for i in sets}
+
+
+def test_jaccard_components_match_all_pairs(spark, docs, empty, rows):
+    rng = random.Random(9)
+    base = prose(rng, 90).split()
+    extra = []
+    for k in range(40):  # edits of one text around the threshold, so that members link through others only
+        w = list(base)
+        for _ in range(rng.randint(0, 5)):
+            w[rng.randrange(len(w))] = prose(rng, 1)
+        extra.append((200 + k, " ".join(w), None, None, None, None))
+    all_rows = [*rows, *extra]
+    want = brute_components(all_rows)
+    got = jaccard_components(docs.unionByName(spark.createDataFrame(extra, SCHEMA))).collect()
+    assert len(got) == len(all_rows)
+    for r in got:
+        assert (r.n_shingles, r.component_id) == want[r.doc_id]
+    assert jaccard_components(empty).count() == 0
+
+
+def test_linked_sets_share_a_signature():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        n = int(rng.integers(3, 120))
+        x = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        drop, add = int(rng.integers(0, len(x) // 4 + 1)), int(rng.integers(0, len(x) // 4 + 1))
+        y = np.unique(np.concatenate([rng.permutation(x)[drop:], rng.integers(0, 2**63, add).astype(np.uint64)]))
+        both = len(np.intersect1d(x, y))
+        if 4 * both >= 3 * len(np.union1d(x, y)) and not np.array_equal(x, y):
+            frequent = [rng.integers(0, 256, 1 << 10).astype(np.uint8) & rng.integers(0, 256, 1 << 10).astype(np.uint8), rng.integers(0, 256, 1 << 10).astype(np.uint8)]
+            for f in (frequent, [np.full(1 << 10, 255, np.uint8)], [np.zeros(1 << 10, np.uint8)]):
+                assert len(np.intersect1d(signatures(x, f), signatures(y, f)))
+    assert [needed(s) for s in (1, 4, 8, 100)] == [1, 2, 3, 26]
+
+
+def test_components_of_paths_and_stars(spark):
+    edges = [(k, k + 1) for k in range(30)] + [(100, k) for k in range(101, 120)] + [(7, 7)]
+    got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
+    assert {got[k] for k in range(31)} == {0} and {got[k] for k in range(100, 120)} == {100}
+
+
+def test_decontamination_finds_edited_items_only(spark, docs, empty):
+    rng = random.Random(3)
+    item = prose(rng, 40)
+    edited = item.replace("e", "x", 3).upper()
+    far = prose(rng, 40)
+    rows = [(1, prose(rng, 30) + " " + item + " " + prose(rng, 30)), (2, "Before: " + edited + "!"), (3, far), (4, None), (5, "")]
+    bench = spark.createDataFrame([(7, item), (8, None), (9, "short"), (7, item)], "item_id long, text string")
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.distance for r in matches(d, bench).collect()}
+    assert got == {(1, 7): 0, (2, 7): 3}
+    assert {r.doc_id for r in clean(d, bench).collect()} == {3, 4, 5}
+    assert matches(empty, bench).count() == 0 and clean(docs, bench.limit(0)).count() == docs.count()
+
+
+def test_bit_parallel_distance_is_the_edit_distance():
+    rng = random.Random(8)
+
+    def plain(p, t):
+        row, best = list(range(len(p) + 1)), len(p)
+        for c in t:
+            new = [0]
+            for k, q in enumerate(p, 1):
+                new.append(min(row[k - 1] + (q != c), row[k] + 1, new[k - 1] + 1))
+            row, best = new, min(best, new[-1])
+        return best
+
+    for _ in range(200):
+        p, t = ("".join(rng.choice("abc") for _ in range(rng.randint(1, n))) for n in (12, 40))
+        masks = {}
+        for i, c in enumerate(p):
+            masks[c] = masks.get(c, 0) | 1 << i
+        hit = least_distance(p, masks, t, len(p))
+        assert (hit[0] if hit else len(p)) == plain(p, t)
+    assert Index([(1, "x")]).search("x") == [] and normalise("A--b_C") == "a b c"
+
+
+def test_targets_fill_up_and_flow_is_cheapest():
+    t = targets([("a", 100), ("b", 100), (None, 10)])
+    assert t[None] == 30 and t["a"] == pytest.approx(60) and t["b"] == pytest.approx(120)
+    flow = min_cost_flow([10, 10, 10], [25, 15], [(0, 0), (1, 0), (1, 1), (2, 1)])
+    used = collections.Counter()
+    for (i, j, k), w in flow.items():
+        used[i, k] += w
+        assert (i, j) in {(0, 0), (1, 0), (1, 1), (2, 1)}
+    assert sum(flow.values()) == 40
+    assert sum(k * w for (_, k), w in used.items()) == 10  # 30 words once, ten of them twice
+
+
+def test_mix_reaches_its_targets(spark, docs, empty, rows):
+    rng = random.Random(4)
+    many = [(k, prose(rng, rng.randint(1, 40)), None, f"s{k % 4}", 0, "") for k in range(400)]
+    df = spark.createDataFrame(many, SCHEMA)
+    got = mix(df).collect()
+    by = collections.defaultdict(lambda: [0, 0])
+    for r in got:
+        assert r.taken <= 3 * r.size and r.taken % r.size == 0
+        by[r.target][0] += r.taken
+    want = targets([(f"s{k}", sum(r.size for r in got if r.doc_id % 4 == k)) for k in range(4)])
+    for r in got:
+        assert r.target == pytest.approx(want[f"s{r.doc_id % 4}"])
+    total = {k: sum(r.taken for r in got if r.doc_id % 4 == k) for k in range(4)}
+    assert all(abs(total[k] - want[f"s{k}"]) <= 15 for k in range(4))
+    again = mix(df.repartition(5)).collect()
+    assert sorted((r.doc_id, r.taken) for r in got) == sorted((r.doc_id, r.taken) for r in again)
+    assert mix(docs, carry=docs.columns).count() == len(rows) and mix(empty).count() == 0
+
+
+def test_pseudonyms_keep_format_and_links(spark, docs, empty):
+    card, iban = "4111 1111 1111 1111", "DE89370400440532013000"
+    text = f"pay {card} or 4111-1111-1111-1112 from {iban} by 1999-02-28 not 1999-02-31, mail jo.doe7@mail.example.org, ip 10.1.2.3 and 999.1.1.1, call +1 (555) 010-9999 end"
+    rows = [(1, text), (2, f"{card}"), (3, None), (4, ""), (5, "nothing 12 here")]
+    got = {r.doc_id: r for r in pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    new = {f.kind: f.pseudonym for f in got[1].findings}
+    assert set(new) == {"card", "iban", "date", "email", "ip", "phone"} and got[1].n_pii == 6
+    assert got[2].clean_text == new["card"] and re.fullmatch(r"\d{4} \d{4} \d{4} \d{4}", new["card"])
+    digits = [int(c) for c in new["card"] if c != " "][::-1]
+    assert sum(sum(divmod(2 * d, 10)) if k % 2 else d for k, d in enumerate(digits)) % 10 == 0
+    assert int("".join(str(int(c, 36)) for c in new["iban"][4:] + new["iban"][:4])) % 97 == 1 and new["iban"][:2] == "DE"
+    assert re.fullmatch(r"[a-z]{2}\.[a-z]{3}\d@[a-z]{4}\.[a-z]{7}\.org", new["email"])
+    assert "1999-02-31" in got[1].clean_text and "999.1.1.1" in got[1].clean_text and "4111-1111-1111-1112" in got[1].clean_text
+    assert card not in got[1].clean_text and got[1].clean_text.endswith(" end")
+    assert got[3].clean_text is None and got[4].clean_text == "" and got[5].n_pii == 0
+    assert pseudonymise(docs, "k").count() == docs.count() and pseudonymise(empty, "k").count() == 0
+
+
+def test_toxicity_learns_and_locates(spark, docs, empty):
+    rng = random.Random(6)
+    texts, y = [], []
+    for k in range(120):
+        s = [prose(rng, 8) for _ in range(5)]
+        if k % 3 == 0:
+            s[2] += " vile" + rng.choice(["st", "r", "ly"])
+        texts.append(". ".join(s) + ".")
+        y.append(int(k % 3 == 0))
+    m = tox.fit(texts, np.array(y))
+    scores = [m.score(t) for t in texts]
+    assert [int(s >= 0.5) for s, _ in scores] == y
+    a, b, _ = scores[0][1][0]
+    assert "vile" in texts[0][a:b]
+    got = tox.toxicity(docs, labels_of(spark)).collect()
+    assert len(got) == docs.count() and all(0 <= r.score <= 1 for r in got)
+    nothing = labels_of(spark).limit(0)
+    assert {r.score for r in tox.toxicity(docs, nothing).collect()} == {0.0} or max(r.score for r in tox.toxicity(docs, nothing).collect()) < 1e-6
+    assert tox.toxicity(empty, nothing).count() == 0
+
+
+def test_rules_separate_and_compile(spark, docs, empty):
+    rng = np.random.default_rng(3)
+    x = rng.random((600, 4))
+    y = ((x[:, 0] > 0.5) & (x[:, 1] < 0.6)).astype(float)
+    m = fit_rules(x, y, 0.5)
+    assert ((m.score(x) > 0.5) == y).mean() > 0.97 and len(m.rules) < 150
+    names = [f"c{k}" for k in range(4)]
+    df = spark.createDataFrame([(*map(float, v),) for v in x[:50]], ", ".join(f"{n} double" for n in names))
+    assert [r[0] for r in df.select(m.column(names)).collect()] == pytest.approx(m.score(x[:50]).tolist())
+    got = quality(docs, labels_of(spark)).collect()
+    assert len(got) == docs.count() and all(0 <= r.score <= 1 for r in got)
+    assert {r.score for r in quality(docs, labels_of(spark).limit(0)).collect()} == {0.5} and quality(empty, labels_of(spark)).count() == 0
+
+
+def test_languages_are_told_apart(spark, docs, empty):
+    rng = random.Random(2)
+    make = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(n))
+    texts = [make("abcde" if k % 2 else "defgh", 30) for k in range(80)]
+    m = fit_language(texts, ["p" if k % 2 else "q" for k in range(80)])
+    assert [m.predict(t)[0] for t in texts] == ["p" if k % 2 else "q" for k in range(80)]
+    assert m.predict(None) == m.predict("12 !") == ("und", 0.0)
+    got = {r.doc_id: r for r in languages(docs).collect()}
+    assert got[5].lang_pred == got[6].lang_pred == "und" and got[0].lang_pred == "xx" and 0 <= got[0].score <= 1
+    assert languages(empty).count() == 0

@@ -37,6 +37,8 @@ EPOCHS = 4
 RATE = 0.5
 CUTS = 3
 REJECT = 0.01
+#: Words that are summed at a time.
+PART = 50_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -58,7 +60,8 @@ class _Rows(dict):
     def __init__(self, table: np.ndarray) -> None:
         super().__init__()
         self.table = table
-        self.sums = np.empty((1 << 18, table.shape[1] + 1), np.float32)
+        self.most = min(400_000, 16_000_000 // (table.shape[1] + 1))
+        self.sums = np.empty((self.most + PART, table.shape[1] + 1), np.float32)
 
     def __missing__(self, word: str) -> int:
         at = self[word] = len(self)
@@ -80,13 +83,11 @@ class Model:
         words = _WORD.findall(text.lower()) if text else []
         if not words or not self.langs:
             return "und", 0.0
-        if self._rows is None or len(self._rows) > 100_000:
-            self._rows = _Rows(self.table)
         total = np.zeros(len(self.langs) + 1)
-        for i in range(0, len(words), 100_000):  # the table of sums has room for as many new words
-            if len(self._rows) > 100_000:
+        for i in range(0, len(words), PART):  # the table of sums has room for as many new words
+            if self._rows is None or len(self._rows) > self._rows.most:
                 self._rows = _Rows(self.table)
-            part = words[i : i + 100_000]
+            part = words[i : i + PART]
             total += self._rows.sums[np.fromiter(map(self._rows.__getitem__, part), np.int64, len(part))].sum(axis=0, dtype=np.float64)
         z = total[:-1] / total[-1]
         p = np.exp(z - z.max())

@@ -1,7 +1,7 @@
 """Language identification by averaged hashed subword embeddings and a linear softmax.
 
 A text is the average of the embeddings of its words' subwords (the word and its pieces of 2 to 4
-characters, with marks at both ends), hashed to BUCKETS rows. A linear softmax reads the average.
+bytes, with marks at both ends), hashed to BUCKETS rows. A linear softmax reads the average.
 Both are trained by stochastic gradient descent in numpy on a bounded sample: up to PER_LANG
 documents of each language outside the held-out fold (those with the smallest hashes of their
 id), each as a whole and as a few short cuts. One tenth of them calibrates: a temperature on the
@@ -44,9 +44,9 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 def subwords(word: str) -> list[int]:
     """The buckets of a word's subwords, the word itself included."""
-    w = f"<{word[:40]}>"
-    pieces = [w] + [w[i : i + n] for n in (2, 3, 4) for i in range(len(w) - n + 1) if n < len(w)]
-    return [zlib.crc32(p.encode("utf-8", "surrogatepass")) % BUCKETS for p in pieces]
+    w = f"<{word[:40]}>".encode("utf-8", "surrogatepass")
+    crc, mask = zlib.crc32, BUCKETS - 1
+    return [crc(w) & mask] + [crc(w[i : i + n]) & mask for n in (2, 3, 4) if n < len(w) for i in range(len(w) - n + 1)]
 
 
 def bag(words: list[str]) -> tuple[np.ndarray, np.ndarray]:

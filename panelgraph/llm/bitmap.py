@@ -15,9 +15,9 @@ def bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
     bit = F.col("h").bitwiseAND((1 << bits) - 1)
     one = F.call_function("shiftleft", F.lit(1), bit.bitwiseAND(31).cast("int"))
     rows = hashes.select(F.shiftright(bit, 5).cast("int").alias("w"), one.alias("b"))
-    found = rows.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    found = rows.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()  # no row objects
     out = np.zeros(1 << (bits - 5), "<u4")
-    out[found["w"].to_numpy(np.int32)] = found["b"].to_numpy(np.int32).view(np.uint32)
+    out[found["w"].to_numpy()] = found["b"].to_numpy().astype(np.int32).view(np.uint32)
     return out.view(np.uint8)
 
 

@@ -19,8 +19,9 @@ Documents link when the Jaccard similarity of their sets of five-word shingles i
 4. In every index entry the members are verified against the best connected one (a star, so a
    group of m copies makes m candidates, not m squared). Verified links are joined to components.
 5. Entries whose members still lie in several components are completed exactly: members of
-   different components are paired, but only where their sizes and the triangle inequality on the
-   distances to the star's centre leave a link possible. The pairs are verified and the components final.
+   different components are paired where they share one of the tokens that they must have in common
+   beyond the centre's, and where their sizes and the triangle inequality on the distances to the
+   centre leave a link possible. The pairs are verified and the components final.
 
 No link between different texts is lost: linked documents share an entry, and step 5 leaves out
 only pairs that are already connected or provably below the threshold.
@@ -194,8 +195,8 @@ def _sets(wanted):
     return run
 
 
-def verify(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(id, centre) with same and all, the sizes of intersection and union of their sets.
+def _met(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, centre, tokens, hub): the sets of both sides of each pair.
 
     The sets of about the documents in pairs are hashed anew (a bitmap of fixed size says which)
     and travel once by id and once to their centre, where they meet the centre's set.
@@ -203,10 +204,14 @@ def verify(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     ids = pairs.select(F.col("id").alias("h")).unionByName(pairs.select(F.col("centre").alias("h")))
     wanted = texts.sparkSession.sparkContext.broadcast(bitmap(ids, ID_BITS))
     sets = texts.mapInArrow(_sets(wanted), "id long, tokens array<long>")
-    mine = sets.join(pairs, "id")
     hubs = sets.join(pairs.select(F.col("centre").alias("id")).distinct(), "id").select(F.col("id").alias("centre"), F.col("tokens").alias("hub"))
+    return sets.join(pairs, "id").join(hubs, "centre")
+
+
+def verify(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, centre) with same and all, the sizes of intersection and union of their sets."""
     same = F.size(F.array_intersect("tokens", "hub")).cast("long")
-    return mine.join(hubs, "centre").select("id", "centre", same.alias("same"), (F.size("tokens") + F.size("hub") - same).alias("all"))
+    return _met(texts, pairs).select("id", "centre", same.alias("same"), (F.size("tokens") + F.size("hub") - same).alias("all"))
 
 
 def _linked() -> F.Column:
@@ -249,16 +254,36 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def completed(texts: DataFrame, shared: DataFrame, checked: DataFrame, found: DataFrame) -> DataFrame:
-    """The links (a, b) between members of one entry that the stars left in different components."""
+    """The links (a, b) between members of one entry that the stars left in different components.
+
+    Of s tokens a partner shares ceil(0.75 s) at least. Where fewer are the centre's, the others
+    hold the rest: they are indexed by a prefix under the centre. Members that are three quarters
+    the centre's are indexed by all their other tokens, and only among themselves by entry.
+    """
     limit = 1 - NUM / DEN
     at = shared.join(found, shared["id"] == found["node"], "left").select("sig", "id", "n", "centre", F.coalesce("component", "id").alias("comp"))
     mixed = at.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
     far = checked.groupBy("id", "centre").agg(F.max(1 - F.col("same") / F.col("all")).alias("far"))
-    at = at.join(mixed, "sig").join(far, ["id", "centre"], "left").select("sig", "id", "n", "comp", F.coalesce("far", F.lit(0.0)).alias("far"))
-    at = at.withColumn("band", F.floor(F.col("far") / limit))
-    other = at.select("sig", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"), F.col("far").alias("far2"), F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)])).alias("band"))
-    near = (F.col("comp") > F.col("comp2")) & (F.abs(F.col("far") - F.col("far2")) <= limit + 1e-9)
-    near = near & (DEN * F.least("n", "n2") >= NUM * F.greatest("n", "n2"))
-    pairs = at.join(other, ["sig", "band"]).where(near).select("id", F.col("id2").alias("centre")).distinct()
-    pairs = materialize(pairs, "rest")
+    # The centre itself was verified against every member.
+    at = materialize(at.join(mixed, "sig").where("id <> centre").join(far, ["id", "centre"]).select("sig", "id", "n", "centre", "comp", "far"), "mixed")
+
+    # Only a centre with members of several components leaves anything to find.
+    left = at.groupBy("centre").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("centre")
+    members = at.join(left, "centre").select("id", "n", "centre", "comp", "far").distinct()
+    other = F.array_except("tokens", "hub")
+    rest = _met(texts, members.select("id", "centre")).select("id", "centre", F.size("tokens").alias("s"), other.alias("other"))
+    owed = -F.floor(-NUM * F.col("s") / DEN) - (F.col("s") - F.size("other"))  # shared tokens that are not the centre's
+    prefix = F.slice("other", 1, F.when(owed > 0, F.greatest(F.size("other") - owed + 1, F.lit(0))).otherwise(F.size("other")).cast("int"))
+    rest = materialize(rest.select("id", "centre", prefix.alias("prefix"), (owed <= 0).alias("near")), "others")
+
+    def paired(rows: DataFrame, keys: list[str]) -> DataFrame:
+        names = {c: f"{c}2" for c in ("id", "n", "comp", "far")}
+        mate = rows.select(*keys, *[F.col(c).alias(d) for c, d in names.items()])
+        fits = (F.col("comp") > F.col("comp2")) & (F.abs(F.col("far") - F.col("far2")) <= limit + 1e-9)
+        fits = fits & (DEN * F.least("n", "n2") >= NUM * F.greatest("n", "n2"))
+        return rows.join(mate, keys).where(fits).select("id", F.col("id2").alias("centre"))
+
+    by_token = rest.select("id", "centre", F.explode("prefix").alias("token")).join(members, ["id", "centre"])
+    alike = at.join(rest.where("near").select("id", "centre"), ["id", "centre"])
+    pairs = materialize(paired(by_token, ["centre", "token"]).unionByName(paired(alike, ["sig", "centre"])).distinct(), "rest")
     return verify(texts, pairs).where(_linked()).select(F.col("id").alias("a"), F.col("centre").alias("b"))

@@ -2,10 +2,10 @@
 
 Texts and test items are normalised (lower case, runs of anything but letters and digits become
 one space). An item of m characters may differ by up to e = floor(ERRORS * m) edits. It is cut
-into e + 1 pieces: any text part within e edits of the item holds at least one piece exactly. All
-pieces go into one Aho-Corasick automaton that passes once over every whole text. Each hit opens
-the window in which the item could lie, overlapping windows of an item are joined, and Myers'
-bit-parallel algorithm finds the least edit distance of the item to any part of the window.
+into e + HITS pieces: any text part within e edits of the item holds at least HITS pieces exactly,
+each shifted by e characters at most. All pieces go into one Aho-Corasick automaton that passes
+once over every whole text. Where enough pieces of an item lie within such shifts, Myers'
+bit-parallel algorithm finds the least edit distance of the item to any part of that window.
 
 The test set is a stated query set: it goes to the executors in blocks whose text is at most
 BLOCK characters, and every block meets all documents. With few blocks (the usual case) that is
@@ -30,6 +30,8 @@ from pyspark.sql import types as T
 ERRORS = 0.1
 MIN_CHARS = 40
 BLOCK = 4_000_000
+#: Pieces beyond the error budget, and so exact pieces that every match must hold.
+HITS = 3
 _GAP = re.compile(r"[\W_]+")
 
 
@@ -38,8 +40,8 @@ def normalise(text: str | None) -> str:
 
 
 def pieces(item: str, errors: int) -> list[tuple[int, str]]:
-    """(offset, piece): the item cut into errors + 1 parts of about equal length."""
-    k = errors + 1
+    """(offset, piece): the item cut into errors + HITS parts of about equal length."""
+    k = errors + HITS
     cuts = [i * len(item) // k for i in range(k + 1)]
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
@@ -95,30 +97,44 @@ class Index:
         if at:
             self.automaton.make_automaton()
 
+    def _windows(self, k: int, hits: list[tuple[int, int]], length: int) -> list[list[int]]:
+        """Where HITS pieces of item k have starts (start, piece) within 2 e of each other; windows are joined."""
+        _, item, e, _ = self.items[k]
+        hits.sort()
+        out: list[list[int]] = []
+        held: dict[int, int] = {}
+        first = 0
+        for start, piece in hits:
+            held[piece] = held.get(piece, 0) + 1
+            while hits[first][0] < start - 2 * e:
+                old = hits[first][1]
+                held[old] -= 1
+                if not held[old]:
+                    del held[old]
+                first += 1
+            if len(held) >= HITS:
+                a, b = max(0, hits[first][0] - e), min(length, start + len(item) + e)
+                if out and a <= out[-1][1]:
+                    out[-1][1] = max(b, out[-1][1])
+                else:
+                    out.append([a, b])
+        return out
+
     def search(self, text: str | None) -> list[tuple[int, int, int, int]]:
         """(item id, distance, start of the window, end of the match) of the items found, in normalised characters."""
         t = normalise(text)
         if not self.items or len(t) < 1:
             return []
-        windows: dict[int, list[list[int]]] = {}
+        starts: dict[int, list[tuple[int, int]]] = {}
         for end, (n, where) in self.automaton.iter(t):
             for k, off in where:
-                _, item, e, _ = self.items[k]
-                a = max(0, end + 1 - n - off - e)
-                b = min(len(t), end + 1 - n - off + len(item) + e)
-                if b - a < len(item) - e:
-                    continue
-                seen = windows.setdefault(k, [])
-                if seen and a <= seen[-1][1] and a >= seen[-1][0]:
-                    seen[-1][1] = max(seen[-1][1], b)
-                    seen[-1][2] |= 1 << (off * (e + 1) // len(item))
-                else:
-                    seen.append([a, b, 1])
+                starts.setdefault(k, []).append((end + 1 - n - off, off))
+        windows = {k: w for k, hits in starts.items() if len(hits) >= HITS and (w := self._windows(k, hits, len(t)))}
         out = []
         for k, spans in windows.items():
             key, item, e, masks = self.items[k]
             found = None
-            for a, b, _ in spans:
+            for a, b in spans:
                 hit = least_distance(item, masks, t[a:b], e)
                 if hit and (found is None or hit[0] < found[1]):
                     found = key, hit[0], a, a + hit[1]

@@ -13,8 +13,9 @@ get equal pseudonyms in every document and the result passes the same validation
 The rest of the text is untouched. Everything is an expression over one row: no shuffle, no Python.
 
 Defined cases: null texts stay null and have no findings, empty ones stay empty; candidates that
-fail validation stay as they are; a candidate inside another one counts once, as the longest
-leading alternative of the pattern. Other columns of the input are not read.
+fail validation stay as they are; of the parts of a run of digits (or of an IBAN's characters) that
+start and end at separators, the leftmost longest valid one counts (a number that passes by chance
+gives way to a card in printed groups that starts inside it); a candidate inside another one counts once, as the longest leading alternative of the pattern. Other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -34,15 +35,20 @@ FORMATS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){1,8}",
     "secret": r"\b(?:[Pp]assword|[Tt]oken|[Ss]ecret|[Aa]pi_?[Kk]ey|PASSWORD|TOKEN|SECRET|API_?KEY)\b\s{0,3}[=:]\s{0,3}\"?[A-Za-z0-9_\-]{8,128}+",
     "key": r"\bAKIA[0-9A-Z]{16}\b",
-    "iban": r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b",
+    "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b",
     "date": r"\b(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})\b",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9.]*[0-9])",
     "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
     "phone": r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,3}\b|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}\b|\b[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}\b",
     "card": r"\b[0-9](?:[ -]?[0-9]){12,18}\b",
 }
-ANY = "|".join(f"(?:{p})" for p in FORMATS.values())
-#: Holds in every text that ANY can match: the others have a digit or an @, a secret and a key need neither.
+#: At the start of each group: the longest run in the format of an IBAN or a card from there. Validation decides which
+#: part of it is one, so these two are searched as the valid values a text holds (see `numbers_in`).
+RUN = rf"\b(?=({FORMATS['iban'][2:]}|{FORMATS['card'][2:].replace('18', '37')}))"
+#: A card as issuers print it, after a separator: it goes before a number that passes by chance and overlaps its start.
+PRINTED = r"[ -]((?:[3-6][0-9]{3}|2[2-7][0-9]{2})(?:[0-9]{9,15}|([ -])[0-9]{4}\2[0-9]{4}\2[0-9]{4}|[ -][0-9]{6}[ -][0-9]{4,5}))\b"
+PLAIN = "|".join(f"(?:{p})" for k, p in FORMATS.items() if k not in ("iban", "card"))
+#: Holds in every text that one of the formats can match: the others have a digit or an @, a secret and a key need neither.
 GATE = r"[0-9@]|AKIA|[=:]\s{0,3}\"?[A-Za-z_\-]{8}"
 
 
@@ -81,13 +87,13 @@ def luhn_sum(digits: Column, doubled: int) -> Column:
     return F.aggregate(each, F.lit(0), lambda s, x: s + F.when(x > 9, x - 9).otherwise(x))
 
 
-def refill(shape: Column, digits: Column) -> Column:
-    """The digits of shape replaced, in order, by those given; separators stay."""
+def refill(shape: Column, digits: Column, kept: str = "[0-9]") -> Column:
+    """The digits (or what `kept` matches) of shape replaced, in order, by those given; separators stay."""
     done = F.aggregate(
         F.split(shape, ""),
         F.struct(F.lit("").alias("out"), F.lit(1).alias("at")),
         lambda s, c: F.when(
-            c.rlike("^[0-9]$"), F.struct(F.concat(s["out"], F.substr(digits, s["at"], F.lit(1))).alias("out"), (s["at"] + 1).alias("at"))
+            c.rlike(f"^{kept}$"), F.struct(F.concat(s["out"], F.substr(digits, s["at"], F.lit(1))).alias("out"), (s["at"] + 1).alias("at"))
         ).otherwise(F.struct(F.concat(s["out"], c).alias("out"), s["at"].alias("at"))),
     )
     return done["out"]
@@ -106,12 +112,46 @@ def _mod97(s: Column) -> Column:
     return F.aggregate(F.split(s, ""), F.lit(0), lambda r, c: (r * F.when(c.rlike("^[0-9]$"), 10).otherwise(100) + value(c)) % 97)
 
 
+def _iban_sum(x: Column) -> Column:
+    return _mod97(F.concat(F.substr(x, F.lit(5)), F.substr(x, F.lit(1), F.lit(4))))
+
+
 def iban(m: Column, key: str) -> Column:
-    """An IBAN with right check digits, as another one of its country; null if they are wrong."""
-    land, body = F.substr(m, F.lit(1), F.lit(2)), F.substr(m, F.lit(5))
+    """An IBAN with right check digits, as another one of its country; null if they are wrong. Blanks stay."""
+    x = F.replace(m, F.lit(" "), F.lit(""))
+    land, body = F.substr(x, F.lit(1), F.lit(2)), F.substr(x, F.lit(5))
     new = permute_text(body, f"{key}:iban", (DIGITS, CAPITAL))
     check = F.lpad((98 - _mod97(F.concat(new, land, F.lit("00")))).cast("string"), 2, "0")
-    return F.when(_mod97(F.concat(body, F.substr(m, F.lit(1), F.lit(4)))) == 1, F.concat(land, check, new))
+    return F.when(_iban_sum(x) == 1, refill(m, F.concat(land, check, new), "[A-Z0-9]"))
+
+
+def numbers_in(text: Column) -> Column:
+    """The distinct valid IBANs and cards of a text, longest first: runs in their format and the parts of runs that start and end at separators."""
+
+    def passes(p: Column) -> Column:
+        return luhn_sum(_digits(p), 1) % 10 == 0
+
+    def hides(p: Column, run: Column) -> Column:
+        printed = F.transform(F.sequence(F.lit(1), F.length(p)), lambda k: F.regexp_extract(F.substr(run, k), f"^{PRINTED}", 1))
+        return ~F.concat(F.lit(" "), p).rlike(f"^{PRINTED}$") & F.exists(printed, lambda x: F.when(x != "", passes(x)).otherwise(False))
+
+    def valid(p: Column, run: Column) -> Column:
+        d = F.regexp_replace(p, "[ -]", "")
+        is_card = F.when(F.length(d).between(13, 19) & passes(p), ~hides(p, run))
+        return F.when(p.rlike("^[0-9]"), is_card).otherwise(F.when(F.length(d) >= 15, _iban_sum(d) == 1))
+
+    def parts(run: Column) -> Column:
+        ends = F.filter(F.sequence(F.lit(13), F.length(run)), lambda n: F.substr(run, n, F.lit(2)).rlike("^[A-Z0-9][ -]?$"))
+        return F.filter(F.transform(ends, lambda n: F.substr(run, F.lit(1), n)), lambda p: valid(p, run))
+
+    runs = F.array_distinct(F.regexp_extract_all(text, F.lit(RUN), F.lit(1)))
+    found = F.array_distinct(F.flatten(F.transform(runs, parts)))
+    return F.transform(F.sort_array(F.transform(found, lambda v: F.struct(F.length(v).alias("n"), v.alias("v"))), False), lambda x: x["v"])
+
+
+def pattern_of(numbers: Column) -> Column:
+    """All formats as one pattern, with the given valid values in place of the formats of IBANs and cards."""
+    return F.when(F.size(numbers) > 0, F.concat(F.lit(PLAIN + r"|\b(?:"), F.array_join(numbers, "|"), F.lit(r")\b"))).otherwise(F.lit(PLAIN))
 
 
 def date(m: Column, key: str) -> Column:
@@ -175,11 +215,12 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
 def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, clean_text, n_pii, and findings: an array of (kind, value, pseudonym)."""
     rows = docs.select(F.col(id_col), F.col(text_col).alias("text_"))
-    rows = rows.withColumn("found_", F.when(F.col("text_").rlike(GATE), F.regexp_extract_all("text_", F.lit(ANY), F.lit(0))))
+    rows = rows.withColumn("pattern_", pattern_of(F.when(F.col("text_").rlike("[0-9]"), numbers_in(F.col("text_")))))
+    rows = rows.withColumn("found_", F.when(F.col("text_").rlike(GATE), F.regexp_extract_all("text_", "pattern_", F.lit(0))))
     named = F.transform("found_", lambda m: F.struct(m.alias("value"), kind_of(m).alias("kind")))
     rows = rows.withColumn("named_", named)
     rows = rows.withColumn("done_", F.transform("named_", lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"), pseudonym(x["value"], x["kind"], key).alias("pseudonym"))))
-    parts = F.split("text_", ANY, -1)
+    parts = F.split("text_", F.col("pattern_"), -1)
     glued = F.array_join(F.zip_with(parts, "done_", lambda p, x: F.concat(p, F.coalesce(x["pseudonym"], x["value"], F.lit("")))), "")
     valid = F.filter("done_", lambda x: x["pseudonym"].isNotNull())
     return rows.select(

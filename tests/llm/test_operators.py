@@ -298,6 +298,18 @@ def test_secrets_and_keys_without_digits_are_found(spark):
     assert [r.clean_text for r in got[3:]] == texts[3:]
 
 
+def test_cards_and_ibans_beside_other_groups_are_found(spark):
+    card, iban = "4111 1111 1111 1111", "DE89 3704 0044 0532 0130 00"
+    cases = [(f"{card} 12/27", ["card"]), ("4111111111111111 123", ["card"]), ("250 4111111111111111", ["card"]), (f"1234 5678 1234 {card} 99 99 99", ["card"]), (f"pay {iban} BIC AB", ["iban"]), (f"AB12 {iban} {card}", ["iban", "card"]), ("4111 1111 1111 1112 12", []), ("GB82 WEST 1234 5698 7654 XX", [])]
+    got = pseudonymise(spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "doc_id long, text string"), "k").orderBy("doc_id").collect()
+    assert [[f.kind for f in r.findings] for r in got] == [kinds for _, kinds in cases]
+    for r, (text, kinds) in zip(got, cases, strict=True):
+        assert re.sub("[A-Z0-9]", "x", r.clean_text) == re.sub("[A-Z0-9]", "x", text) and (r.clean_text == text) == (not kinds)
+        assert all(f.value.replace(" ", "") in (card.replace(" ", ""), iban.replace(" ", "")) for f in r.findings)
+    new = got[4].findings[0].pseudonym.replace(" ", "")
+    assert int("".join(str(int(c, 36)) for c in new[4:] + new[:4])) % 97 == 1 and got[4].clean_text.endswith(" BIC AB")
+
+
 def test_toxicity_learns_and_locates(spark, docs, empty):
     rng = random.Random(6)
     texts, y = [], []

@@ -310,6 +310,14 @@ def test_cards_and_ibans_beside_other_groups_are_found(spark):
     assert int("".join(str(int(c, 36)) for c in new[4:] + new[:4])) % 97 == 1 and got[4].clean_text.endswith(" BIC AB")
 
 
+def test_long_secrets_are_replaced_whole(spark):
+    tokens = ["a1B2c3D4" * n for n in (16, 25, 5000)]
+    got = pseudonymise(spark.createDataFrame([(k, f"token={t} end") for k, t in enumerate(tokens)], "doc_id long, text string"), "k").orderBy("doc_id").collect()
+    for r, t in zip(got, tokens, strict=True):
+        assert [f.value for f in r.findings] == [f"token={t}"] and r.clean_text[:6] == "token=" and r.clean_text[-4:] == " end"
+        assert len(r.clean_text) == len(t) + 10 and t[-64:] not in r.clean_text and sum(a == b for a, b in zip(t, r.clean_text[6:-4])) < len(t) / 4
+
+
 def test_toxicity_learns_and_locates(spark, docs, empty):
     rng = random.Random(6)
     texts, y = [], []

@@ -39,19 +39,35 @@ CUTS = 3
 REJECT = 0.01
 #: Words that are summed at a time.
 PART = 50_000
+#: Longer words (runs of letters of unspaced text) are summed piece by piece, PIECE places at a time, and not remembered.
+LONG = 40
+PIECE = 5_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def subwords(word: str) -> list[int]:
-    """The buckets of a word's subwords, the word itself included."""
-    w = f"<{word[:40]}>".encode("utf-8", "surrogatepass")
+def pieces(word: str) -> Iterator[list[int]]:
+    """The buckets of a word's subwords, the word itself included, PIECE places of it at a time."""
+    w = f"<{word}>".encode("utf-8", "surrogatepass")
     crc, mask = zlib.crc32, BUCKETS - 1
-    return [crc(w) & mask] + [crc(w[i : i + n]) & mask for n in (2, 3, 4) if n < len(w) for i in range(len(w) - n + 1)]
+    yield [crc(w) & mask]
+    for at in range(0, len(w), PIECE):
+        yield [crc(w[i : i + n]) & mask for n in (2, 3, 4) if n < len(w) for i in range(at, min(at + PIECE, len(w) - n + 1))]
+
+
+def subwords(word: str) -> list[int]:
+    return [b for part in pieces(word) for b in part]
 
 
 def bag(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    ids, n = np.unique(np.array([b for w in words for b in subwords(w)], np.int64), return_counts=True)
-    return ids, n / n.sum()
+    total, part = np.zeros(BUCKETS, np.int64), []
+    for b in (b for w in words for b in pieces(w)):
+        part += b
+        if len(part) > 20 * PIECE:
+            total += np.bincount(part, minlength=BUCKETS)
+            part = []
+    total += np.bincount(np.array(part, np.int64), minlength=BUCKETS)
+    ids = np.flatnonzero(total)
+    return ids, total[ids] / total.sum()
 
 
 class _Rows(dict):
@@ -88,6 +104,11 @@ class Model:
             if self._rows is None or len(self._rows) > self._rows.most:
                 self._rows = _Rows(self.table)
             part = words[i : i + PART]
+            for w in (w for w in part if len(w) > LONG):
+                for b in pieces(w):
+                    total[:-1] += self.table[b].sum(axis=0, dtype=np.float64)
+                    total[-1] += len(b)
+            part = [w for w in part if len(w) <= LONG]
             total += self._rows.sums[np.fromiter(map(self._rows.__getitem__, part), np.int64, len(part))].sum(axis=0, dtype=np.float64)
         z = total[:-1] / total[-1]
         p = np.exp(z - z.max())

@@ -10,6 +10,7 @@ import pytest
 from panelgraph.llm import toxicity as tox
 from panelgraph.llm.components import components
 from panelgraph.llm.decontamination import Index, clean, least_distance, matches, normalise
+from panelgraph.llm import language_id
 from panelgraph.llm.language_id import fit as fit_language
 from panelgraph.llm.language_id import languages
 from panelgraph.llm.mixing import min_cost_flow, mix, targets
@@ -363,3 +364,23 @@ def test_languages_are_told_apart(spark, docs, empty):
     got = {r.doc_id: r for r in languages(docs).collect()}
     assert got[5].lang_pred == got[6].lang_pred == "und" and got[0].lang_pred == "xx" and 0 <= got[0].score <= 1
     assert languages(empty).count() == 0
+
+
+def test_unspaced_text_is_judged_whole(spark, monkeypatch):
+    rng = random.Random(4)
+    make = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(n))
+    texts = [make("abcde" if k % 2 else "fghij", 30) for k in range(80)]
+    m = fit_language(texts, ["p" if k % 2 else "q" for k in range(80)])
+    run = make("fghij", 8).replace(" ", "") + make("abcde", 1000).replace(" ", "")
+    assert m.predict(run)[0] == "p" and m.predict("fghij " + run)[0] == "p" and run not in m._rows
+    whole = m.predict(run)
+    monkeypatch.setattr(language_id, "PIECE", 7)
+    assert m.predict(run) == (whole[0], pytest.approx(whole[1])) and sorted(language_id.subwords(run)) == sorted(_subwords_at_once(run))
+    ids, share = language_id.bag([run, "ab"])
+    both = _subwords_at_once(run) + _subwords_at_once("ab")
+    assert dict(zip(ids.tolist(), share.tolist(), strict=True)) == pytest.approx({b: both.count(b) / len(both) for b in set(both)})
+
+
+def _subwords_at_once(word):
+    w = f"<{word}>".encode()
+    return [zlib.crc32(x) % language_id.BUCKETS for x in [w, *[w[i : i + n] for n in (2, 3, 4) if n < len(w) for i in range(len(w) - n + 1)]]]

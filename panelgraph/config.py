@@ -41,12 +41,22 @@ class FoldConfig:
     horizon: int = 1
 
 
+@dataclass(frozen=True)
+class ModelConfig:
+    hidden: tuple[int, ...] = (16, 32)
+    dropout: tuple[float, ...] = (0.2, 0.5)
+    seeds: int = 5
+    epochs: int = 300
+    fixed_lag: int = 5
+
+
 @dataclass(frozen=True)
 class StudyConfig:
     panel: PanelConfig = field(default_factory=PanelConfig)
     graph: GraphConfig = field(default_factory=GraphConfig)
     features: FeatureConfig = field(default_factory=FeatureConfig)
     folds: FoldConfig = field(default_factory=FoldConfig)
+    models: ModelConfig = field(default_factory=ModelConfig)
     costs_bps: tuple[float, ...] = (0.0, 10.0)
     periods: int = 52
 

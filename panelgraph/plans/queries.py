@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from panelgraph.functions import formats
 from panelgraph.operators import backtest, evaluation, events, features, graph, models, panel, spectral, stats
 from panelgraph.plans.sql import ACC, ADJ, BT, DM, EDGES, EVENTS, FEAT, FOLDS, sql
-from panelgraph.plans.study import OFFSETS, Study
+from panelgraph.plans.study import FEATURES, OFFSETS, Study
 from panelgraph.streaming.bars import event_bars
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,7 +47,6 @@ def query(name: str, parts: list[str] | None = None, select: str | None = None):
 
 ASSETS = [f"S{k}" for k in range(10)]
 PIVOT = ", ".join(f"[[MAX(CASE WHEN asset = '{a}' THEN {{0}} END)]] AS \"{a}\"" for a in ASSETS)
-FEATURES = ["r_lag0", "r_lag1", "r_lag2", "r_lag3", "r_lag4", "rv_5", "rv_20", "logvol_z_20"]
 
 # --- Sources, panels and their checks
 query("src4_bars", [], "SELECT date, asset, [[close]] AS close, [[volume]] AS volume, [[quote_volume]] AS quote_volume, trades FROM bars")(lambda s: s.bars)
@@ -129,8 +128,8 @@ query("gr7_gr12_spectral_topology")(lambda s: s.spectra.drop("eigenvalues"))
 query("gr14_topology")(lambda s: s.topology.join(s.spectra.drop("date", "eigenvalues"), "pos"))
 query("gr15_regime_spectra")(lambda s: spectral.regime_spectra(s.spectra, s.topology))
 query("gr16_hierarchical_order")(lambda s: spectral.asset_order(s.edges))
-query("ts7_permutation_null")(lambda s: spectral.threshold_null(s.returns, 20, 24, 200, 0.05, 42))
-query("ts8_threshold")(lambda s: spectral.calibrated(spectral.threshold_null(s.returns, 20, 24, 200, 0.05, 42)))
+query("ts7_permutation_null")(lambda s: s.null)
+query("ts8_threshold")(lambda s: spectral.calibrated(s.null))
 query(
     "prj12_sign_gate", [EDGES, "rk AS (SELECT RANK() OVER (ORDER BY mean_correlation) + (COUNT(*) OVER (PARTITION BY mean_correlation) - 1) / 2.0 AS a, RANK() OVER (ORDER BY graph_density) + (COUNT(*) OVER (PARTITION BY graph_density) - 1) / 2.0 AS b FROM topo)"],
     "SELECT [[COVAR_POP(a, b) / (STDDEV_POP(a) * STDDEV_POP(b))]] AS rho, COUNT(*) AS n FROM rk",
@@ -168,18 +167,11 @@ query("ag7_historical_mean", [FOLDS], "SELECT fold, asset, [[m]] AS level FROM h
 query("md3_ar_bic")(lambda s: models.autoregressions(s.returns, s.tests, s.positions)[0])
 query("md3_ar_diagnostics")(lambda s: models.autoregressions(s.returns, s.tests, s.positions)[1])
 query("md4_var_bic")(lambda s: models.autoregressions(s.returns, s.tests, s.positions, joint=True, name="var-bic")[0])
-query("md4_var_fixed")(lambda s: models.autoregressions(s.returns, s.tests, s.positions, order=2, joint=True, name="var-p2")[0])
+query("md4_var_fixed")(lambda s: s.var_fixed())
 query("ag14_var_orders")(lambda s: models.autoregressions(s.returns, s.tests, s.positions, joint=True, name="var-bic")[1].agg(F.array_sort(F.collect_set("lag_order")).alias("orders")))
-
-
-def _network(s: Study, use_graph: bool) -> tuple[DataFrame, DataFrame]:
-    x = features.standardised(s.features, s.positions, FEATURES)
-    return models.graph_forecasts(x, FEATURES, s.targets, s.adjacency, s.positions, [(8, 0.2), (16, 0.2)], seeds=2, use_graph=use_graph, epochs=60, name="gcn" if use_graph else "gcn-nograph")
-
-
-query("md8_graph_network")(lambda s: _network(s, True)[0])
-query("md6_no_graph")(lambda s: _network(s, False)[0])
-query("md8_validation_errors")(lambda s: _network(s, True)[1])
+query("md8_graph_network")(lambda s: s.network(True)[0])
+query("md6_no_graph")(lambda s: s.network(False)[0])
+query("md8_validation_errors")(lambda s: s.network(True)[1])
 
 # --- Accuracy and tests
 SKILL = (

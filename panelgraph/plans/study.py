@@ -17,6 +17,7 @@ EVENTS = [
     ("beta", datetime.date(1998, 8, 17), "Beta", "second dated event", ""),
     ("gamma", datetime.date(2000, 4, 10), "Gamma", "third dated event", "ref-3"),
 ]
+FEATURES = ["r_lag0", "r_lag1", "r_lag2", "r_lag3", "r_lag4", "rv_5", "rv_20", "logvol_z_20"]
 OFFSETS = (-56, -28, 0, 28, 56)
 
 
@@ -41,6 +42,11 @@ class Study:
     def returns(self) -> DataFrame:
         return panel.log_returns(self.panel)
 
+    @cached_property
+    def null(self) -> DataFrame:
+        g = self.config.graph
+        return spectral.threshold_null(self.returns, g.window, g.calibration_windows, g.permutations, g.alpha, g.seed)
+
     @cached_property
     def edges(self) -> DataFrame:
         g = self.config.graph
@@ -93,6 +99,16 @@ class Study:
         out = models.zero(self.tests)
         return out.unionByName(models.mean(self.tests, self.train)).unionByName(models.ar1(self.tests, self.train))
 
+    def var_fixed(self) -> DataFrame:
+        p = self.config.models.fixed_lag
+        return models.autoregressions(self.returns, self.tests, self.positions, order=p, joint=True, name=f"var-p{p}")[0]
+
+    def network(self, use_graph: bool) -> tuple[DataFrame, DataFrame]:
+        m = self.config.models
+        x = features.standardised(self.features, self.positions, FEATURES)
+        grid = [(h, d) for h in m.hidden for d in m.dropout]
+        return models.graph_forecasts(x, FEATURES, self.targets, self.adjacency, self.positions, grid, m.seeds, use_graph, m.epochs, "gcn" if use_graph else "gcn-nograph")
+
     @cached_property
     def dm(self) -> DataFrame:
         return evaluation.dm_matrix(self.predictions)

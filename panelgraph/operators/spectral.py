@@ -126,7 +126,13 @@ def permutation_null(block: np.ndarray, replicas: int, rng: np.random.Generator)
     x = x - x.mean(axis=1, keepdims=True)
     x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
     rho = np.einsum("rti,rtj->rij", x, x)[:, i, j]
-    return rho.ravel(), rho.max(axis=1)
+    return rho.ravel(), np.fmax.reduce(rho, axis=1)
+
+
+def _quantile(x: np.ndarray, q: float) -> float:
+    """The quantile of the defined values; pairs with a constant series have none."""
+    x = x[np.isfinite(x)]
+    return float(np.quantile(x, q)) if x.size else float("nan")
 
 
 def threshold_null(returns: DataFrame, window: int, windows: int, replicas: int, alpha: float, seed: int) -> DataFrame:
@@ -142,7 +148,7 @@ def threshold_null(returns: DataFrame, window: int, windows: int, replicas: int,
     def run(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
         block = p.pivot(index="pos", columns="asset_ix", values="r").to_numpy()
         pooled, top = permutation_null(block, replicas, np.random.default_rng([seed, int(key[0])]))
-        return pd.DataFrame([(int(key[0]), int(p["pos"].max()), float(np.quantile(pooled, 1 - alpha)), float(np.quantile(top, 1 - alpha)))], columns=["window_ix", "end_pos", "tau", "tau_fwer"])
+        return pd.DataFrame([(int(key[0]), int(p["pos"].max()), _quantile(pooled, 1 - alpha), _quantile(top, 1 - alpha))], columns=["window_ix", "end_pos", "tau", "tau_fwer"])
 
     return rows.groupBy("window_ix").applyInPandas(run, "window_ix int, end_pos int, tau double, tau_fwer double")
 

@@ -18,6 +18,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 DIGITS = 7
 LARGE = 1e4
+#: Queries whose SQL holds for the plain variant only.
+WHOLE = {"gr3_threshold", "gr4_adjacency", "gr5_edge_density", "gr18_weighted_degree", "ag4_density_summary", "ag5_topology_summary", "ag6_isolated_windows", "prj12_sign_gate", "ev1_event_study", "ev4_event_tables", "jn11_fold_topology"}
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -32,10 +34,13 @@ def rounded(df: DataFrame) -> DataFrame:
 
 def query(name: str, parts: list[str] | None = None, select: str | None = None):
     """Registers f(study) under name; select is its SQL, in which [[x]] stands for x
-    rounded like the result (<<x>> if it may be large)."""
+    rounded like the result (<<x>> if it may be large). Queries with SQL run the plain variant of
+    the study; those in WHOLE are registered over the whole study too, as name_whole."""
 
     def add(f: Callable[[Study], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: rounded(f(Study(spark, sf_dir)))
+        QUERIES[name] = lambda spark, sf_dir: rounded(f(Study(spark, sf_dir, plain=bool(select))))
+        if name in WHOLE:
+            QUERIES[f"{name}_whole"] = lambda spark, sf_dir: rounded(f(Study(spark, sf_dir)))
         if select:
             text = re.sub(r"<<(.*?)>>", rf"(CASE WHEN ABS(\1) >= {LARGE} THEN ROUND(\1, 2) ELSE ROUND(\1, {DIGITS}) END + 0.0)", select)
             text = text.replace("[[", "ROUND(CAST(").replace("]]", f" AS DOUBLE), {DIGITS}) + 0.0")
@@ -204,7 +209,7 @@ query("jn9_so6_model_pairs", [FOLDS], "SELECT DISTINCT LEAST(a.model, b.model) A
     lambda s: s.dm.select(F.least("model_a", "model_b").alias("model_a"), F.greatest("model_a", "model_b").alias("model_b")).distinct()
 )
 query("ts6_rank_association")(lambda s: evaluation.rank_association(s.topology, "mean_correlation", "graph_density"))
-query("fg7_density_vs_skill")(lambda s: QUERIES["jn11_fold_topology"](s.spark, s.sf_dir).join(evaluation.accuracy(s.predictions, "zero", ["fold"]).where("model = 'ar1'").select("fold", "skill_score"), "fold"))
+query("fg7_density_vs_skill")(lambda s: QUERIES["jn11_fold_topology_whole"](s.spark, s.sf_dir).join(evaluation.accuracy(s.predictions, "zero", ["fold"]).where("model = 'ar1'").select("fold", "skill_score"), "fold"))
 
 # --- Backtest
 query("bt1_rectangular", [FOLDS], "SELECT model, COUNT(DISTINCT date) * COUNT(DISTINCT asset) - COUNT(DISTINCT (date, asset)) AS missing, COUNT(*) - COUNT(DISTINCT (date, asset)) AS duplicates FROM pred GROUP BY model")(lambda s: backtest.rectangular_gaps(s.predictions))

@@ -28,6 +28,8 @@ class Study:
     spark: SparkSession
     sf_dir: str
     config: StudyConfig = StudyConfig()
+    #: The variant that SQL can state: the constant tau of the settings.
+    plain: bool = False
 
     @cached_property
     def bars(self) -> DataFrame:
@@ -47,10 +49,14 @@ class Study:
         g = self.config.graph
         return spectral.threshold_null(self.returns, g.window, g.calibration_windows, g.permutations, g.alpha, g.seed)
 
+    @cached_property
+    def tau(self) -> float:
+        """The calibrated threshold, one number on the driver; the constant of the settings in the plain variant."""
+        return self.config.graph.tau if self.plain else spectral.calibrated(self.null).first()["tau"]
+
     @cached_property
     def edges(self) -> DataFrame:
-        g = self.config.graph
-        return graph.weighted(graph.rolling_correlation(self.returns, g.window), g.tau)
+        return graph.weighted(graph.rolling_correlation(self.returns, self.config.graph.window), self.tau)
 
     @cached_property
     def topology(self) -> DataFrame:

@@ -5,6 +5,7 @@ from panelgraph.plans.queries import QUERIES
 from panelgraph.plans.study import Study
 
 SMALL = "/root/testdata/sf0.001"
+MEDIUM = "/root/testdata/sf0.01"
 
 
 def test_queries_run_the_study_s_whole_settings(spark, monkeypatch):
@@ -25,3 +26,14 @@ def test_queries_run_the_study_s_whole_settings(spark, monkeypatch):
     assert seen["graph_forecasts"][0][5:9] == ([(16, 0.2), (16, 0.5), (32, 0.2), (32, 0.5)], 5, True, 300)
     assert seen["threshold_null"][0][1:] == (20, 24, 500, 0.05, 42)
     assert seen["autoregressions"][1]["order"] == 5
+
+
+def test_graphs_are_thresholded_at_the_calibrated_tau(spark):
+    tau = QUERIES["ts8_threshold"](spark, MEDIUM).first()["tau"]
+    study = Study(spark, MEDIUM)
+    assert study.tau == pytest.approx(tau, abs=1e-6) and study.tau != study.config.graph.tau
+    rows = study.edges.select("rho", "w_tau", "w").collect()
+    assert rows and all(r.w_tau == (r.w if r.rho is not None and r.rho > study.tau else 0) for r in rows)
+    assert Study(spark, MEDIUM, plain=True).tau == study.config.graph.tau
+    assert QUERIES["gr3_threshold_whole"](spark, MEDIUM).count() == sum(r.w_tau > 0 for r in rows)
+    assert QUERIES["gr3_threshold"](spark, MEDIUM).count() == sum(r.rho is not None and r.rho > 0.2 and r.w > 0 for r in rows)

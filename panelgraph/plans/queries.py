@@ -20,6 +20,7 @@ DIGITS = 7
 LARGE = 1e4
 #: Queries whose SQL holds for the plain variant only.
 WHOLE = {"gr3_threshold", "gr4_adjacency", "gr5_edge_density", "gr18_weighted_degree", "ag4_density_summary", "ag5_topology_summary", "ag6_isolated_windows", "prj12_sign_gate", "ev1_event_study", "ev4_event_tables", "jn11_fold_topology"}
+WHOLE |= {"md1_md2_predictions", "ag12_accuracy", "ag12_accuracy_by_asset", "ag12_accuracy_by_fold", "ag17_positive_skill", "st6_best_worst_fold", "ts1_daily_losses", "ts3_diebold_mariano", "jn9_so6_model_pairs", "bt1_rectangular", "bt2_bt3_positions", "wn10_turnover", "bt4_curves", "wn12_drawdown", "bt8_summary", "bt10_verdicts", "st7_best_tradable", "fg6_equity_curves"}
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -209,7 +210,7 @@ query("jn9_so6_model_pairs", [FOLDS], "SELECT DISTINCT LEAST(a.model, b.model) A
     lambda s: s.dm.select(F.least("model_a", "model_b").alias("model_a"), F.greatest("model_a", "model_b").alias("model_b")).distinct()
 )
 query("ts6_rank_association")(lambda s: evaluation.rank_association(s.topology, "mean_correlation", "graph_density"))
-query("fg7_density_vs_skill")(lambda s: QUERIES["jn11_fold_topology_whole"](s.spark, s.sf_dir).join(evaluation.accuracy(s.predictions, "zero", ["fold"]).where("model = 'ar1'").select("fold", "skill_score"), "fold"))
+query("fg7_density_vs_skill")(lambda s: QUERIES["jn11_fold_topology_whole"](s.spark, s.sf_dir).join(evaluation.accuracy(s.predictions, "zero", ["fold"]).where("model = 'gcn'").select("fold", "skill_score"), "fold"))
 
 # --- Backtest
 query("bt1_rectangular", [FOLDS], "SELECT model, COUNT(DISTINCT date) * COUNT(DISTINCT asset) - COUNT(DISTINCT (date, asset)) AS missing, COUNT(*) - COUNT(DISTINCT (date, asset)) AS duplicates FROM pred GROUP BY model")(lambda s: backtest.rectangular_gaps(s.predictions))

@@ -28,7 +28,7 @@ class Study:
     spark: SparkSession
     sf_dir: str
     config: StudyConfig = StudyConfig()
-    #: The variant that SQL can state: the constant tau of the settings.
+    #: The variant that SQL can state: the constant tau of the settings, and the three forecasts that are plain aggregates.
     plain: bool = False
 
     @cached_property
@@ -101,9 +101,14 @@ class Study:
 
     @cached_property
     def predictions(self) -> DataFrame:
-        """zero, mean and ar1: the forecasts that are plain aggregates."""
-        out = models.zero(self.tests)
-        return out.unionByName(models.mean(self.tests, self.train)).unionByName(models.ar1(self.tests, self.train))
+        """zero, mean and ar1 in the plain variant; else the seven models that are compared, fitted once."""
+        out = models.zero(self.tests).unionByName(models.mean(self.tests, self.train))
+        if self.plain:
+            return out.unionByName(models.ar1(self.tests, self.train))
+        lags = self.returns, self.tests, self.positions
+        for more in (models.autoregressions(*lags)[0], models.autoregressions(*lags, joint=True, name="var-bic")[0], self.var_fixed(), self.network(True)[0], self.network(False)[0]):
+            out = out.unionByName(more)
+        return out.persist()
 
     def var_fixed(self) -> DataFrame:
         p = self.config.models.fixed_lag

@@ -1,5 +1,6 @@
 import pytest
 
+from panelgraph.config import ModelConfig, StudyConfig
 from panelgraph.operators import models, spectral
 from panelgraph.plans.queries import QUERIES
 from panelgraph.plans.study import Study
@@ -37,3 +38,9 @@ def test_graphs_are_thresholded_at_the_calibrated_tau(spark):
     assert Study(spark, MEDIUM, plain=True).tau == study.config.graph.tau
     assert QUERIES["gr3_threshold_whole"](spark, MEDIUM).count() == sum(r.w_tau > 0 for r in rows)
     assert QUERIES["gr3_threshold"](spark, MEDIUM).count() == sum(r.rho is not None and r.rho > 0.2 and r.w > 0 for r in rows)
+
+
+def test_all_seven_models_are_compared(spark):
+    study = Study(spark, MEDIUM, StudyConfig(models=ModelConfig(hidden=(2,), dropout=(0.2,), seeds=1, epochs=2)))
+    rows = {r["model"]: r["count"] for r in study.predictions.groupBy("model").count().collect()}
+    assert set(rows) == {"zero", "mean", "ar", "var-bic", "var-p5", "gcn", "gcn-nograph"} and len(set(rows.values())) == 1

@@ -52,6 +52,21 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def join_skewed(left: DataFrame, right: DataFrame, key: str, size: str, least: int = 256) -> DataFrame:
+    """left joined (inner) to right, a materialized table with one row a key and in `size` its number of rows in left.
+
+    Keys with over a thousandth of the rows, at most 1000 of them, are broadcast, so that no task
+    gets all rows of one; the others are joined by shuffle. left is read twice where there are such keys.
+    """
+    total, most = right.agg(F.sum(size), F.max(size)).first()
+    limit = max((total or 0) // 1000, least)
+    if (most or 0) <= limit:
+        return left.join(right, key)
+    hot = right.where(F.col(size) > limit)
+    cold = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right.where(F.col(size) <= limit), key)
+    return left.join(F.broadcast(hot), key).unionByName(cold)
+
+
 def is_held_out(doc_id: Column) -> Column:
     """The fold no classifier learns from: crc32 of the id as text, mod 5, is 0.
 

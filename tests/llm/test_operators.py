@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from panelgraph.llm import toxicity as tox
 from panelgraph.llm.components import components
@@ -14,6 +15,7 @@ from panelgraph.llm import language_id
 from panelgraph.llm.language_id import fit as fit_language
 from panelgraph.llm.language_id import languages
 from panelgraph.llm.mixing import min_cost_flow, mix, targets
+from panelgraph.llm import ngram_jaccard
 from panelgraph.llm.ngram_jaccard import jaccard_components, needed, signatures
 from panelgraph.llm.pii import pseudonymise
 from panelgraph.llm.quality_rules import quality_rules
@@ -185,6 +187,29 @@ def test_jaccard_components_match_all_pairs(spark, docs, empty, rows):
     assert jaccard_components(empty).count() == 0
 
 
+def test_long_lists_are_settled_by_stars(spark, monkeypatch):
+    """Lists above two members are starred and indexed again, round after round; hot keys go by broadcast."""
+    from panelgraph.llm import common
+
+    monkeypatch.setattr(ngram_jaccard, "SMALL", 2)
+    monkeypatch.setattr(ngram_jaccard, "OPEN", 2)
+    monkeypatch.setattr(common.join_skewed, "__defaults__", (3,))
+    rng = random.Random(12)
+    rows = []
+    for g in range(3):
+        base = prose(rng, 70).split()
+        for _ in range(45):
+            w = list(base)
+            for _ in range(rng.randint(0, 5)):
+                k = rng.randrange(len(w))
+                w[k : k + rng.randint(0, 2)] = [base[rng.randrange(len(base))], rng.choice(["aa", "bb"])][: rng.randint(0, 2)]
+            rows.append((len(rows), " ".join(w[rng.choice([0, 0, 0, 9]) :])))
+    rows += [(k, rows[0][1]) for k in range(500, 540)]
+    want = brute_components(rows)
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want and len({c for _, c in want.values()}) > 10
+
+
 def test_linked_sets_share_a_signature():
     rng = np.random.default_rng(4)
     for _ in range(300):
@@ -196,10 +221,47 @@ def test_linked_sets_share_a_signature():
         if 4 * both >= 3 * len(np.union1d(x, y)) and not np.array_equal(x, y):
             frequent = [rng.integers(0, 256, 1 << 10).astype(np.uint8) & rng.integers(0, 256, 1 << 10).astype(np.uint8), rng.integers(0, 256, 1 << 10).astype(np.uint8)]
             for f in (frequent, [np.full(1 << 10, 255, np.uint8)], [np.zeros(1 << 10, np.uint8)]):
-                assert len(np.intersect1d(signatures(x, f), signatures(y, f)))
+                assert any(len(np.intersect1d(p, q)) for p, q in zip(signatures(x, f), signatures(y, f), strict=True))
     assert [needed(s) for s in (1, 4, 8, 100)] == [1, 2, 3, 26]
 
 
+def test_linked_sets_share_a_difference_from_any_set(spark):
+    """For groups of sets and any C: pairs that link share a listed token or are linked to the member nearest to C."""
+    rng = np.random.default_rng(0)
+    universe = np.arange(400)
+
+    def varied(x):
+        kept = x[rng.random(len(x)) > rng.random() / 2]
+        return np.unique(np.concatenate([kept, rng.choice(universe, int(rng.integers(0, 1 + len(x) // 3)), replace=False)]))
+
+    rows, groups = [], []
+    for g in range(500):
+        c = np.sort(rng.choice(universe, int(rng.integers(8, 60)), replace=False))
+        sets = [varied(c) for _ in range(3)]
+        sets = [x for y in sets for x in (y, varied(y), varied(y)) if len(x) > 2]
+        same = [len(np.intersect1d(x, c)) for x in sets]
+        near = [7 * s - 3 * len(x) for s, x in zip(same, sets, strict=True)]
+        groups.append((c, sets, near))
+        rows += [(g, k, len(x), len(c), s, min(map(len, sets)), max(near)) for k, (x, s) in enumerate(zip(sets, same, strict=True))]
+    df = spark.createDataFrame(rows, "g long, k long, na long, nb long, same long, low long, top long")
+    upto = ngram_jaccard.prefixes(*(F.col(c) for c in ("na", "nb", "same", "low", "top")))
+    got = {(r.g, r.k): (r.o, r.m) for r in df.select("g", "k", upto[0].alias("o"), upto[1].alias("m")).collect()}
+    linked = lambda x, y: 4 * len(np.intersect1d(x, y)) >= 3 * len(np.union1d(x, y))
+    by_token = by_nearest = 0
+    for g, (c, sets, near) in enumerate(groups):
+        listed = [(set(np.setdiff1d(x, c)[: got[g, k][0]]), set(np.setdiff1d(c, x)[: got[g, k][1]])) for k, x in enumerate(sets)]
+        top = int(np.argmax(near))
+        sure = [near[k] + near[top] >= 7 * len(c) for k in range(len(sets))]
+        assert all(linked(x, sets[top]) for x, s in zip(sets, sure, strict=True) if s)
+        for k, x in enumerate(sets):
+            for n, y in enumerate(sets[:k]):
+                if linked(x, y):
+                    shares = bool(listed[k][0] & listed[n][0] or listed[k][1] & listed[n][1])
+                    assert shares or (sure[k] or k == top) and (sure[n] or n == top)
+                    by_token, by_nearest = by_token + shares, by_nearest + (not shares)
+    assert by_token > 500 and by_nearest > 50
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(k, k + 1) for k in range(30)] + [(100, k) for k in range(101, 120)] + [(7, 7)]
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())

@@ -8,11 +8,13 @@ id), each as a whole and as a few short cuts. One tenth of them calibrates: a te
 logits, and the score below which a prediction is marked as rejected.
 
 Since reading is linear, embedding and softmax fold into one table of BUCKETS x languages, and
-scoring is one map over the documents that sums word rows; whole texts are scored.
+scoring is one map over the documents that sums word rows; whole texts are scored, words of any
+length and very long texts part by part.
 
 Defined cases: a null text or one without letters is `und` with score 0; so is every text if
 there is nothing to learn from. Ties go to the language that sorts first. Null languages are not
-learnt from; other columns of the input are not read.
+learnt from; of rows that repeat an id and a language the least text is; every row is predicted by its own text; an
+empty table gives an empty result. Other columns of the input are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,10 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelgraph.llm.common import hash_long, is_held_out
+from panelgraph.llm.common import hash_long, is_held_out, materialize
 from panelgraph.llm.labelled import whole_texts
 
 PER_LANG = 500
+#: Documents of all languages together; with very many languages each has fewer.
+SAMPLE = 50_000
 BUCKETS = 1 << 15
 WIDTH = 16
 EPOCHS = 4
@@ -171,12 +175,22 @@ def _calibrated(names: list[str], table: np.ndarray, held: list) -> Model:
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    """A model of up to PER_LANG documents of each language (SAMPLE in all, one a language at least), see labelled.whole_texts.
+
+    Of a language with over a thousandth of the rows only ids below a hash that twice as many as needed are
+    expected to pass are ranked, so that no task ranks more, however many there are.
+    """
     known = F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~is_held_out(F.col(id_col))
     rows = docs.where(known).select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    counts = materialize(rows.groupBy("lang").count(), "langs")
+    n, total = counts.agg(F.count("*"), F.sum("count")).first()
+    most = max(1, min(PER_LANG, SAMPLE // max(1, n)))
+    top = (1 << 60) * (2.0 * most + 100)
+    hot = counts.where(F.col("count") > max((total or 0) / 1000, 4 * most)).select("lang", (F.lit(top) / F.col("count")).alias("cut"))  # 1000 rows at most
+    ids = rows.select("id", "lang", hash_long("lang", F.col("id")).alias("h")).join(F.broadcast(hot), "lang", "left").where("cut is null or h < cut")
     order = Window.partitionBy("lang").orderBy("h", "id")  # a rank limit, applied before the shuffle too
-    picks = rows.select("id", "lang", hash_long("lang", F.col("id")).alias("h")).withColumn("k", F.row_number().over(order)).where(F.col("k") <= PER_LANG)
-    ids = F.broadcast(picks.select("id", "lang", "h"))  # PER_LANG ids of each language
-    found: pd.DataFrame = whole_texts(rows.join(ids, ["id", "lang"]))
+    picks = ids.drop("cut").distinct().withColumn("k", F.row_number().over(order)).where(F.col("k") <= most)
+    found: pd.DataFrame = whole_texts(rows.join(F.broadcast(picks.select("id", "lang", "h")), ["id", "lang"]), "lang")  # SAMPLE ids
     return fit(found.text.tolist(), found.lang.tolist())
 
 

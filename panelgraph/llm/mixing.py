@@ -12,9 +12,11 @@
    and only that range is cumulated, so no source is ever gathered in one task. One more document,
    the one whose size is closest to what is still missing, ends the selection.
 
-Defined cases: a null text has size 0 and is never taken in part; a null source is a source of
+Defined cases: a null text has size 0, so it is taken once at most; a null source is a source of
 its own and sorts last; sources of size 0 get target 0; repeated rows share one fate, since the
-seed hashes the id and the text's hash. Other columns are carried only where the caller asks.
+seed hashes the id and the text's hash; null or empty members are the null source; an empty table gives
+an empty result. Very long texts are only counted. Other columns are carried only where the caller
+asks, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,12 +40,15 @@ def n_words(text: Column) -> Column:
     return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_RUN), "")).cast("long")
 
 
-def targets(sizes: list[tuple[str | None, int]]) -> dict[str | None, float]:
-    """The target of each source: WEIGHTS repeating in code-point order, null last, water-filled below CAP sizes."""
+def targets(sizes: list[tuple[str | None, int]], total: int | None = None) -> dict[str | None, float]:
+    """The target of each source: WEIGHTS repeating in code-point order, null last, water-filled below CAP sizes.
+
+    total is what they share: the sizes of all documents, each once; by default the sum of sizes.
+    """
     order = sorted(sizes, key=lambda s: (s[0] is None, s[0] or ""))
     weight = {s: WEIGHTS[i % len(WEIGHTS)] for i, (s, _) in enumerate(order)}
     size = dict(order)
-    left, free, out = float(sum(size.values())), [s for s, _ in order], {}
+    left, free, out = float(sum(size.values()) if total is None else total), [s for s, _ in order], {}
     while free:
         unit = left / sum(weight[s] for s in free)
         full = [s for s in free if unit * weight[s] > CAP * size[s]]
@@ -105,19 +110,27 @@ def min_cost_flow(supply: list[int], demand: list[int], arcs: list[tuple[int, in
             e[3][1] += room
 
 
+def _members(found: Column) -> Column:
+    """The distinct sources in order, null last; of none the null source."""
+    found = F.array_distinct(F.coalesce(found, F.array().cast("array<string>")).cast("array<string>"))
+    return F.when(F.size(found) > 0, F.sort_array(found)).otherwise(F.array(F.lit(None).cast("string")))
+
+
 def mix(docs: DataFrame, members: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: list[str] | None = None, seed: str = "mix") -> DataFrame:
-    """One row per row: id, carried columns, size, source_size, target, taken.
+    """One row per row: id, row_ (a struct of the carried columns), size, source_size, target, taken, copies.
 
-    members: an array column of the sources that hold the document; by default its one source.
+    members: an array column of the sources that hold the document; by default its one source. Null or
+    empty members are the null source. source_size and target are those of the row's own source, null
+    if no document is a member of it.
     """
     spark = docs.sparkSession
-    own = ["size", "source_size", "target", "taken"]
-    keep = [c for c in carry or [] if c not in [id_col, *own]]
+    keep = ["row_"] if carry else []
+    row = [F.struct(*carry).alias("row_")] if carry else []
     ties = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     whole = docs.select(
-        F.col(id_col), *keep, n_words(F.col(text_col)).alias("size"), F.col(source_col).alias("src_"), (F.array(source_col) if members is None else members).alias("mem_"),
+        F.col(id_col), *row, n_words(F.col(text_col)).alias("size"), F.col(source_col).alias("src_"), _members(F.array(source_col) if members is None else members).alias("mem_"),
         hash_long(seed, F.coalesce(F.col(id_col).cast("string"), F.lit("")), ties).alias("h_"),
-    ).withColumn("pat_", F.to_json(F.struct(F.sort_array(F.array_distinct("mem_")).alias("m")))).withColumn("range_", F.floor(F.col("h_") / (2**60 // RANGES)))
+    ).withColumn("pat_", F.to_json(F.struct(F.col("mem_").alias("m")))).withColumn("range_", F.floor(F.col("h_") / (2**60 // RANGES)))
     # The narrow columns are read several times, so they are kept; texts are read once more at most.
     rows = materialize(whole.drop(*keep), "mix")
     patterns = rows.groupBy("pat_").agg(F.first("mem_").alias("mem"), F.sum("size").alias("n")).limit(MAX_NODES + 1).collect()
@@ -126,10 +139,10 @@ def mix(docs: DataFrame, members: Column | None = None, id_col: str = "doc_id",
         raise ValueError(f"more than {MAX_NODES} membership patterns or sources")
     patterns = sorted(patterns, key=lambda r: r["pat_"])
     sizes = [(r["src"], int(r["n"] or 0)) for r in sources]
-    target = targets(sizes)
+    target = targets(sizes, sum(int(p["n"] or 0) for p in patterns))
     names = [s for s, _ in sizes]
     index = {s: j for j, s in enumerate(names)}
-    arcs = [(i, index[s]) for i, p in enumerate(patterns) for s in dict.fromkeys(p["mem"] or [None])]
+    arcs = [(i, index[s]) for i, p in enumerate(patterns) for s in p["mem"]]
     flow = min_cost_flow([int(p["n"] or 0) for p in patterns], [round(target[s]) for s in names], arcs)
     quota = [0] * len(patterns)
     for (i, _, _), words in flow.items():
@@ -158,5 +171,5 @@ def mix(docs: DataFrame, members: Column | None = None, id_col: str = "doc_id",
     extra = extra.groupBy("pat_").agg(F.min_by("h_", F.struct(F.abs(F.col("size") - lack), "h_")).alias("extra_"))
     rows = chosen(whole if keep else rows).join(F.broadcast(extra), "pat_", "left")
     copies = F.col("whole_") + F.when(F.col("chosen_") | F.coalesce(F.col("h_") == F.col("extra_"), F.lit(False)), 1).otherwise(0)
-    rows = rows.withColumn("copies_", F.least(copies, F.lit(CAP))).join(F.broadcast(table), F.col("src_").eqNullSafe(F.col("of_")))
+    rows = rows.withColumn("copies_", F.when(F.col("size") > 0, F.least(copies, F.lit(CAP))).otherwise(F.least(copies, F.lit(1)))).join(F.broadcast(table), F.col("src_").eqNullSafe(F.col("of_")), "left")
     return rows.select(id_col, *keep, "size", "source_size", "target", (F.col("copies_") * F.col("size")).cast("long").alias("taken"), F.col("copies_").cast("int").alias("copies"))

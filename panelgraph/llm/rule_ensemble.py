@@ -189,8 +189,9 @@ def fit(x: np.ndarray, y: np.ndarray, share: float | None) -> RuleModel:
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> RuleModel:
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     picked = base.join(F.broadcast(chosen(labels, "quality", id_col=id_col)), "id")  # 2 * PER_CLASS ids at most
+    picked = picked.groupBy("id", "y", "h").agg(F.min("text").alias("text"))  # one row an id, whatever repeats it
     stats, names = with_statistics(picked.withColumn("row_", F.struct("id", "y", "h")), "row_", "text")
-    rows = stats.select("row_.*", *names).toPandas().sort_values(["h", "id", *names]).drop_duplicates("id")
+    rows = stats.select("row_.*", *names).toPandas().sort_values(["h", "id"])
     return fit(rows[names].to_numpy(float), rows.y.to_numpy(float), share_of_ones(labels, "quality", id_col))
 
 

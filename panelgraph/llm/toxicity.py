@@ -11,14 +11,17 @@ Weights are fitted by full-batch Adam with an L1 proximal step; the bias stays n
 a sentence without any known word is clean.
 
 Scoring is one map over the documents with the weights sent along (at most MAX_WORDS of them).
-Whole texts are scored. Defined cases: null and empty texts score like a sentence of no words;
-if no label can be learnt from, every score is 0. Repeated rows get equal scores; other columns
-are carried only where the caller asks.
+Whole texts are scored, very long ones sentence by sentence. Defined cases: null and empty texts, which
+have no sentence, score 0; sentences without any input count once per document; if no label can be
+learnt from, every score is about 0. Repeated rows get equal scores; rows that repeat an id are scored each by
+its text; an empty table gives an empty result. Other columns are carried only where the caller asks,
+whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -52,16 +55,17 @@ def features(word: str) -> list[str]:
 
 
 class _Weights(dict):
-    """The sum of the weights of a word's features; forgets all when it has grown large."""
+    """The sum of the weights of a word's features, None if the model has none of them; forgets all when it has grown large."""
 
     def __init__(self, of: dict[str, float]) -> None:
         super().__init__()
         self.of = of
 
-    def __missing__(self, word: str) -> float:
+    def __missing__(self, word: str) -> float | None:
         if len(self) > 400_000:
             self.clear()
-        x = self[word] = sum(self.of.get(f, 0.0) for f in features(word))
+        known = [self.of[f] for f in features(word) if f in self.of]
+        x = self[word] = sum(known) if known else None
         return x
 
     def __reduce__(self):
@@ -82,43 +86,45 @@ class Model:
         of = self.words
         text = text or ""
         low = text.lower()
-        if len(low) != len(text):  # a few letters change their length
-            low = text
-        n = 0
-        for m in _SENTENCE.finditer(low):
-            z = 0.0
-            for w in _WORD.findall(m.group()):
-                z += of[w]
-            if z:
-                z += self.bias
-                clean += np.logaddexp(0.0, z)
-                if z > 0:
-                    found.append((*m.span(), float(1 / (1 + np.exp(-z)))))
-            else:
-                n += 1
-        return float(-np.expm1(-(clean + base * min(n, 1)))), found
+        same = len(low) == len(text)  # a few letters become longer, so then each sentence is lowered by itself
+        unknown = False
+        for m in _SENTENCE.finditer(low if same else text):
+            known = [z for z in map(of.__getitem__, _WORD.findall(m.group() if same else m.group().lower())) if z is not None]
+            if not known:
+                unknown = True
+                continue
+            z = self.bias + sum(known)
+            clean += np.logaddexp(0.0, z)
+            if z > 0:
+                found.append((*m.span(), float(1 / (1 + np.exp(-z)))))
+        return float(-np.expm1(-(clean + (base if unknown else 0.0)))), found
 
 
 def fit(texts: list[str], y: np.ndarray) -> Model:
-    """Weights from document labels. Sentences without any input word count once per document."""
-    bags = [[Counter(f for w in _WORD.findall(t[a:b].lower()) for f in features(w)) for a, b in sentences(t)] for t in texts]
-    docs = Counter(w for bag in bags for w in set().union(*bag))
+    """Weights from document labels. Sentences without any input count once per document, as in scoring."""
+    docs: Counter = Counter()
+    for t in texts:  # one text's features at a time
+        docs.update({f for w in set(_WORD.findall(t.lower())) for f in features(w)})
     vocab = sorted((w for w, n in docs.items() if n >= MIN_DOCS), key=lambda w: (-docs[w], w))[:MAX_WORDS]
+    del docs
     if not vocab or y.min(initial=1) == y.max(initial=0):
         return Model({}, -30.0)
     index = {w: k for k, w in enumerate(vocab)}
-    row, col, val, doc = [], [], [], []
+    row, col, val, doc = array("i"), array("i"), array("f"), array("i")
     n = 0
-    for d, bag in enumerate(bags):
-        for words in bag:
-            known = [(index[w], c) for w, c in words.items() if w in index]
-            for k, c in known:
-                row.append(n)
-                col.append(k)
-                val.append(float(c))
+    for d, t in enumerate(texts):
+        unknown = False
+        for a, b in sentences(t):
+            known = Counter(index[f] for w in _WORD.findall(t[a:b].lower()) for f in features(w) if f in index)
+            if not known and unknown:
+                continue
+            unknown = unknown or not known
+            row.extend([n] * len(known))
+            col.extend(known)
+            val.extend(known.values())
             doc.append(d)
             n += 1
-    row, col, val, doc = np.array(row), np.array(col), np.array(val), np.array(doc)
+    row, col, val, doc = (np.array(x) for x in (row, col, val, doc))
     share = y.mean()
     weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))  # either class counts alike
     w, bias = np.zeros(len(vocab)), -4.0
@@ -137,7 +143,7 @@ def fit(texts: list[str], y: np.ndarray) -> Model:
         w = w - size * m1 / c1
         w = np.sign(w) * np.maximum(np.abs(w) - np.minimum(size * L1, 0.5), 0.0)
         bias = min(bias - RATE * (b1 / c1) / (np.sqrt(b2 / c2) + 1e-8), -2.0)
-    return Model({v: float(x) for v, x in zip(vocab, w, strict=True) if x}, float(bias))
+    return Model(dict(zip(vocab, w.tolist(), strict=True)), float(bias))
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
@@ -146,32 +152,31 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def score_documents(docs: DataFrame, model: Model, carry: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, the carried columns, score, and offending: an array of (start, end, score) of sentences."""
-    keep = [c for c in carry if c not in ("score_", "offending_")]
+    """row_ (a struct of the carried columns), score_, and offending_: an array of (start, end, score) of sentences."""
     added = T.StructType.fromDDL("score_ double, offending_ array<struct<start:int,end:int,score:double>>")
-    schema = T.StructType(docs.select(*keep).schema.fields + added.fields)
-    where = keep.index(text_col)
+    body = docs.select(F.struct(*carry).alias("row_"), F.col(text_col).alias("text_"))
+    schema = T.StructType([body.schema["row_"], *added.fields])
     found = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores, spans = [], []
-            for t in batch.column(where):
+            for t in batch.column(1):
                 s, f = model.score(t.as_py())
                 scores.append(s)
                 spans.append([{"start": a, "end": b, "score": p} for a, b, p in f])
-            cols = [*batch.columns, pa.array(scores, pa.float64()), pa.array(spans, found)]
-            yield pa.RecordBatch.from_arrays(cols, names=[*keep, "score_", "offending_"])
+            cols = [batch.column(0), pa.array(scores, pa.float64()), pa.array(spans, found)]
+            yield pa.RecordBatch.from_arrays(cols, names=["row_", "score_", "offending_"])
 
-    return docs.select(*keep).mapInArrow(run, schema)
+    return body.mapInArrow(run, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, held_out, score, predicted, offending."""
-    out = score_documents(docs, learn(docs, labels), [id_col, text_col], id_col, text_col)
+    out = score_documents(docs, learn(docs, labels), [id_col], id_col, text_col)
     return out.select(
-        id_col,
-        is_held_out(F.col(id_col)).alias("held_out"),
+        f"row_.{id_col}",
+        is_held_out(F.col(f"row_.{id_col}")).alias("held_out"),
         F.col("score_").alias("score"),
         (F.col("score_") >= 0.5).cast("int").alias("predicted"),
         F.col("offending_").alias("offending"),

@@ -15,7 +15,7 @@ from panelgraph.llm import language_id
 from panelgraph.llm.language_id import fit as fit_language
 from panelgraph.llm.language_id import languages
 from panelgraph.llm.mixing import min_cost_flow, mix, targets
-from panelgraph.llm import ngram_jaccard
+from panelgraph.llm import labelled, ngram_jaccard
 from panelgraph.llm.ngram_jaccard import jaccard_components, needed, signatures
 from panelgraph.llm.pii import pseudonymise
 from panelgraph.llm.quality_rules import quality_rules
@@ -73,6 +73,8 @@ def test_sharding_is_a_seeded_bijection(spark, docs, empty, rows):
     assert (one.size, one.text_crc32) == (301, zlib.crc32(("ü" * 150).encode()))
     assert {r.size for r in got if r.doc_id == 5} == {1}
     assert shard_rows(empty, 4).count() == 0
+    carried = shard_rows(docs, 4, carry=docs.columns)
+    assert {r.size_in for r in carried.collect()} == {-1, None} and "kept" in carried.columns and carried.count() == len(rows)
 
 
 def test_quality_rules_count_like_a_plain_loop(docs, empty, rows, spark):
@@ -332,7 +334,11 @@ def test_mix_reaches_its_targets(spark, docs, empty, rows):
     assert all(abs(total[k] - want[f"s{k}"]) <= 15 for k in range(4))
     again = mix(df.repartition(5)).collect()
     assert sorted((r.doc_id, r.taken) for r in got) == sorted((r.doc_id, r.taken) for r in again)
-    assert mix(docs, carry=docs.columns).count() == len(rows) and mix(empty).count() == 0
+    kept = mix(docs, carry=docs.columns).select("row_.*")
+    assert kept.columns == docs.columns and sorted(map(str, kept.collect())) == sorted(map(str, docs.collect())) and mix(empty).count() == 0
+    shared = mix(df.limit(10), members=F.array(F.lit("x"), F.lit("y"))).collect()
+    assert len(shared) == 10 and {r.target for r in shared} == {None} and sum(r.taken for r in shared) == sum(r.size for r in shared)
+    assert mix(df.limit(10), members=F.lit(None).cast("array<string>")).count() == 10
 
 
 def test_pseudonyms_keep_format_and_links(spark, docs, empty):
@@ -381,6 +387,25 @@ def test_long_secrets_are_replaced_whole(spark):
         assert len(r.clean_text) == len(t) + 10 and t[-64:] not in r.clean_text and sum(a == b for a, b in zip(t, r.clean_text[6:-4])) < len(t) / 4
 
 
+def test_one_letter_does_not_change_how_the_rest_is_read():
+    vile = "Some VILE things happened here. All is well."
+    m = tox.Model({"vile": 6.0, "well": -1.0}, -3.0)
+    plain, found = m.score(vile)
+    other, moved = m.score("\u0130stanbul.\n" + vile)  # a letter that becomes two in lower case
+    assert plain > 0.9 and other == pytest.approx(plain, abs=0.06) and [(a + 10, b + 10) for a, b, _ in found] == [(a, b) for a, b, _ in moved]
+    assert m.score(None) == m.score("") == (0.0, []) and m.score("unheard of. of course")[0] == pytest.approx(1 / (1 + np.exp(3.0)))
+
+
+def test_a_text_that_does_not_fit_is_passed_over(spark, monkeypatch):
+    monkeypatch.setattr(labelled, "MAX_CHARS", 2000)
+    rows = [(k, "x" * (30_000 if k == 3 else 10), k % 2) for k in range(40)] + [(4, "w" * 10, 0)] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string, y int")
+    labels = docs.select("doc_id", F.col("y").alias("toxic"))
+    got = labelled.sample(docs, labels, "toxic")
+    want = {k for k in range(40) if k != 3 and zlib.crc32(str(k).encode()) % 5}
+    assert set(got.id) == want and len(got) == len(want) and got[got.id == 4].text.tolist() in (["w" * 10], [])
+
+
 def test_toxicity_learns_and_locates(spark, docs, empty):
     rng = random.Random(6)
     texts, y = [], []

@@ -16,6 +16,15 @@ def rectangular_gaps(predictions: DataFrame) -> DataFrame:
     return cells.select("model", (F.col("d") * F.col("a") - F.col("cells")).alias("missing"), (F.col("n") - F.col("cells")).alias("duplicates"))
 
 
+def checked(predictions: DataFrame) -> DataFrame:
+    """The predictions, if no model is named like the reference and each has one row for all its dates x assets."""
+    if not predictions.where(F.col("model") == REFERENCE).isEmpty():
+        raise EvaluationError(f"a model is named {REFERENCE}, which is the reference's name")
+    if broken := [r["model"] for r in rectangular_gaps(predictions).where("missing > 0 or duplicates > 0").limit(20).collect()]:
+        raise EvaluationError(f"dates and assets are no rectangle: {broken}")
+    return predictions
+
+
 def positions(predictions: DataFrame) -> DataFrame:
     """(model, date, asset, weight, ret): sign(forecast) / N, with the simple return of the same row; and the reference."""
     n = predictions.agg(F.count_distinct("asset").alias("n_assets"))
@@ -62,10 +71,23 @@ def summary(curve_rows: DataFrame, periods: int) -> DataFrame:
     )
 
 
+#: The four readings of a strategy by its Sharpe ratio at the lowest and the highest cost.
+NO_POSITION, SURVIVES, CONSUMED, UNPROFITABLE = "no position taken", "survives the cost", "the cost consumes the edge", "unprofitable either way"
+
+
 def verdicts(summary_rows: DataFrame) -> DataFrame:
-    """(model, cost_bps, verdict): how a strategy stands after costs."""
-    v = F.when(F.col("sharpe").isNull(), "no position").when(F.col("cumulative_return") > 0, "gain after costs").otherwise("loss after costs")
-    return summary_rows.select("model", "cost_bps", v.alias("verdict"))
+    """(model, verdict): how a strategy's Sharpe ratio at the lowest cost level stands at the highest one; the reference is left out."""
+    ends = summary_rows.where(F.col("model") != REFERENCE).groupBy("model").agg(F.min_by("sharpe", "cost_bps").alias("gross"), F.max_by("sharpe", "cost_bps").alias("net"))
+    v = F.when(F.col("gross").isNull(), NO_POSITION).when(F.col("net") > 0, SURVIVES).when(F.col("gross") > 0, CONSUMED).otherwise(UNPROFITABLE)
+    return ends.select("model", v.alias("verdict"))
+
+
+def in_order(summary_rows: DataFrame, models: list[str]) -> DataFrame:
+    """The summary with cost_ix and model_ix, sorted by them: costs ascending, models as given, the reference last."""
+    order = {m: k for k, m in enumerate([*(m for m in models if m != REFERENCE), REFERENCE])}
+    ix = F.create_map(*[F.lit(x) for kv in order.items() for x in kv])[F.col("model")]
+    costs = F.dense_rank().over(Window.partitionBy(F.lit(1)).orderBy("cost_bps")) - 1  # a row a model and cost level
+    return summary_rows.withColumn("cost_ix", costs).withColumn("model_ix", ix).orderBy("cost_ix", "model_ix")
 
 
 def best_tradable(summary_rows: DataFrame) -> DataFrame:

@@ -41,7 +41,17 @@ def checked_accuracy(predictions: DataFrame, baseline: str, by: list[str] | None
         raise EvaluationError(f"no such column: {missing}")
     if not uncovered(predictions, baseline).isEmpty():
         raise EvaluationError(f"{baseline} does not cover all predictions")
-    return accuracy(predictions, baseline, by)
+    rows = accuracy(predictions, baseline, by)
+    perfect = rows.where((F.col("model") == baseline) & (F.col("rmse") == 0))
+    if predictions.where(F.col("model") == baseline).isEmpty() or not perfect.isEmpty():
+        raise EvaluationError(f"{baseline} is missing or has no error to compare with")
+    return rows
+
+
+def by_error(accuracy_rows: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Accuracy rows sorted by group and error, with rank, the place in the group; ties by model."""
+    rank = F.row_number().over(Window.partitionBy(*by or [F.lit(1)]).orderBy("rmse", "model"))
+    return accuracy_rows.withColumn("rank", rank).orderBy(*by or [], "rank")
 
 
 def daily_losses(predictions: DataFrame) -> DataFrame:
@@ -53,13 +63,40 @@ def daily_losses(predictions: DataFrame) -> DataFrame:
 def diebold_mariano(losses: DataFrame, horizon: int = 1) -> DataFrame:
     """(model_a, model_b, statistic, df, mean_loss_differential) of ordered pairs on common dates.
 
-    Each unordered pair is computed once from its daily differences (population variance plus
-    Bartlett-weighted autocovariances up to horizon - 1) and mirrored with the sign changed. A pair
-    without variance has a null statistic.
+    Each unordered pair is computed once and mirrored with the sign changed. A pair without variance
+    has a null statistic.
+    """
+    return both_ways(_unordered(losses, horizon), ["statistic", "mean_loss_differential"])
+
+
+def checked_diebold_mariano(losses: DataFrame, model_a: str, model_b: str, horizon: int = 1) -> DataFrame:
+    """The one row of two models; refuses a model against itself, horizons below 1, too few dates and equal losses."""
+    if model_a == model_b or horizon < 1:
+        raise EvaluationError("two models and a horizon of 1 or more are compared")
+    row = diebold_mariano(losses.where(F.col("model").isin(model_a, model_b)), horizon).where((F.col("model_a") == model_a) & (F.col("model_b") == model_b))
+    found = row.first()
+    if found is None or found["df"] + 1 <= horizon:
+        raise EvaluationError(f"{model_a} and {model_b} have too few common dates for horizon {horizon}")
+    if found["statistic"] is None:
+        raise EvaluationError(f"the loss differential of {model_a} and {model_b} does not vary")
+    return row
+
+
+def both_ways(rows: DataFrame, signed: list[str]) -> DataFrame:
+    """Rows of unordered pairs (model_a, model_b) in both directions; `signed` columns change their sign."""
+    turned = {"model_a": F.col("model_b"), "model_b": F.col("model_a")} | {c: -F.col(c) for c in signed}
+    pair = F.array(F.struct(*rows.columns), F.struct(*[turned.get(c, F.col(c)).alias(c) for c in rows.columns]))
+    return rows.select(F.inline(pair))
+
+
+def _unordered(losses: DataFrame, horizon: int) -> DataFrame:
+    """Pairs with model_a < model_b from their daily differences: population variance plus Bartlett-weighted autocovariances up to horizon - 1.
+
+    The losses of one date (a row a model) meet in one aggregate, so they are read once.
     """
-    a = losses.select(F.col("model").alias("model_a"), "date", F.col("loss").alias("la"))
-    b = losses.select(F.col("model").alias("model_b"), "date", F.col("loss").alias("lb"))
-    d = a.join(b, "date").where("model_a < model_b").select("model_a", "model_b", "date", (F.col("la") - F.col("lb")).alias("d"))
+    daily = losses.groupBy("date").agg(F.array_sort(F.collect_list(F.struct("model", "loss"))).alias("l"))
+    later = lambda x, i: F.transform(F.slice("l", i + 2, F.size("l")), lambda y: F.struct(x["model"].alias("model_a"), y["model"].alias("model_b"), (x["loss"] - y["loss"]).alias("d")))
+    d = daily.select("date", F.inline(F.flatten(F.transform("l", later))))
     pair, order = Window.partitionBy("model_a", "model_b"), Window.partitionBy("model_a", "model_b").orderBy("date")
     d = d.withColumn("c", F.col("d") - F.avg("d").over(pair))
     lags = [F.col("c") * F.lag("c", k).over(order) for k in range(1, horizon)]
@@ -72,9 +109,7 @@ def diebold_mariano(losses: DataFrame, horizon: int = 1) -> DataFrame:
     h = horizon
     factor = F.sqrt((F.col("n") + 1 - 2 * h + F.lit(h * (h - 1)) / F.col("n")) / F.col("n"))
     stat = F.try_divide(F.col("mean"), F.sqrt(F.when(F.col("v") > 1e-30, F.col("v")) / F.col("n"))) * factor
-    rows = rows.select("model_a", "model_b", stat.alias("statistic"), (F.col("n") - 1).alias("df"), F.col("mean").alias("mean_loss_differential"))
-    back = rows.select(F.col("model_b").alias("model_a"), F.col("model_a").alias("model_b"), (-F.col("statistic")).alias("statistic"), "df", (-F.col("mean_loss_differential")).alias("mean_loss_differential"))
-    return rows.unionByName(back)
+    return rows.select("model_a", "model_b", stat.alias("statistic"), (F.col("n") - 1).alias("df"), F.col("mean").alias("mean_loss_differential"))
 
 
 def holm(rows: DataFrame, p: str = "p_value", out: str = "p_value_holm") -> DataFrame:
@@ -87,11 +122,13 @@ def holm(rows: DataFrame, p: str = "p_value", out: str = "p_value_holm") -> Data
 
 def dm_matrix(predictions: DataFrame, horizon: int = 1) -> DataFrame:
     """All ordered pairs with p-values, Holm-adjusted over the unordered ones; identical pairs get p = 1."""
-    rows = diebold_mariano(daily_losses(predictions), horizon)
+    rows = _unordered(daily_losses(predictions), horizon)
     rows = rows.withColumn("p_value", F.coalesce(t_p(F.col("statistic"), F.col("df")), F.lit(1.0))).withColumn("identical", F.col("statistic").isNull())
-    half = holm(rows.where("model_a < model_b")).select("model_a", "model_b", "p_value_holm")
-    back = half.select(F.col("model_b").alias("model_a"), F.col("model_a").alias("model_b"), "p_value_holm")
-    return rows.join(half.unionByName(back), ["model_a", "model_b"])
+    return both_ways(holm(rows), ["statistic", "mean_loss_differential"])
+
+
+#: Rows that pairwise slopes are taken of at most.
+MOST_POINTS = 10_000
 
 
 def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
@@ -105,8 +142,12 @@ def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
 def rank_association(rows: DataFrame, x: str, y: str) -> DataFrame:
     """(rho, p_value, slope, intercept, n): Spearman with its t approximation and the Theil-Sen line.
 
-    Pairwise slopes are for tables of folds, not of facts.
+    Pairwise slopes are for tables of folds, not of facts: more than MOST_POINTS rows, fewer than three
+    or a column without variance are refused.
     """
+    n, nx, ny = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).agg(F.count("*"), F.count_distinct(x), F.count_distinct(y)).first()
+    if not 3 <= n <= MOST_POINTS or min(nx, ny) < 2:
+        raise EvaluationError(f"{n} points with {nx} and {ny} different values: no rank association")
     pts = rows.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
     a, b = pts.alias("a"), pts.alias("b")
     slopes = a.join(b, F.col("a.x") < F.col("b.x")).select(((F.col("b.y") - F.col("a.y")) / (F.col("b.x") - F.col("a.x"))).alias("s"))

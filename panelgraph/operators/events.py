@@ -10,20 +10,25 @@ EVENTS = "event_key string, event_date date, label string, description string, c
 
 
 def load_events(path: str) -> list[tuple]:
-    """Events of a YAML list; an empty list, a repeated key or a missing date is a ValueError."""
+    """Events of a YAML list, which may stand under the key `events`.
+
+    No events, a repeated or missing key, a missing date or label is a ValueError.
+    """
     import datetime
 
     import yaml
 
     with open(path, encoding="utf-8") as f:
         rows = yaml.safe_load(f) or []
+    if isinstance(rows, dict):
+        rows = rows.get("events") or []
     if not rows:
         raise ValueError("no events")
-    if len({r["key"] for r in rows}) < len(rows):
-        raise ValueError("an event key is repeated")
-    if any(not isinstance(r["date"], datetime.date) for r in rows):
-        raise ValueError("an event has no date")
-    return [(r["key"], r["date"], r.get("label", ""), r.get("description", ""), r.get("citation", "") or "") for r in rows]
+    if any(not r.get("key") for r in rows) or len({r["key"] for r in rows}) < len(rows):
+        raise ValueError("an event key is missing or repeated")
+    if bad := [r["key"] for r in rows if not isinstance(r.get("date"), datetime.date) or not r.get("label")]:
+        raise ValueError(f"events without a date or label: {bad}")
+    return [(r["key"], r["date"], r["label"], r.get("description", ""), r.get("citation", "") or "") for r in rows]
 
 
 def event_table(spark: SparkSession, rows: list[tuple]) -> DataFrame:

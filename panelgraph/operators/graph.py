@@ -50,22 +50,23 @@ def edge_violations(edges: DataFrame) -> DataFrame:
 
 def mirrored(edges: DataFrame, weight: str) -> DataFrame:
     """(pos, i, j, w) of both directions of every edge."""
-    a = edges.select("pos", "i", "j", F.col(weight).alias("w"))
-    return a.unionByName(a.select("pos", F.col("j").alias("i"), F.col("i").alias("j"), "w"))
+    w = F.col(weight).alias("w")
+    there, back = F.struct("i", "j", w), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), w)
+    return edges.select("pos", F.inline(F.array(there, back)))
 
 
 def adjacency(edges: DataFrame, weight: str) -> DataFrame:
     """(pos, i, j, a): D^-1/2 (W + I) D^-1/2 of every date, with its diagonal.
 
-    Degrees are one aggregate; a self loop makes each at least 1, so none is zero.
+    The edges are read and exchanged once, by date; W is symmetric, so the sums over i and over j are
+    the two degrees. The self loop of i goes with its first edge and makes its degree at least 1.
     """
-    both = mirrored(edges, weight)
-    loops = both.select("pos", "i").distinct().select("pos", "i", F.col("i").alias("j"), F.lit(1.0).alias("w"))
-    full = both.unionByName(loops)
-    degree = full.groupBy("pos", "i").agg(F.sum("w").alias("deg"))
-    other = degree.select("pos", F.col("i").alias("j"), F.col("deg").alias("deg_j"))
-    out = full.join(degree, ["pos", "i"]).join(other, ["pos", "j"])
-    return out.select("pos", "i", "j", F.try_divide("w", F.sqrt(F.col("deg") * F.col("deg_j"))).alias("a"))
+    both = mirrored(edges, weight).repartition("pos")
+    of_i, of_j = Window.partitionBy("pos", "i"), Window.partitionBy("pos", "j")
+    both = both.withColumn("deg_j", 1 + F.sum("w").over(of_j)).withColumn("deg", 1 + F.sum("w").over(of_i)).withColumn("k", F.row_number().over(of_i.orderBy("j")))
+    edge = F.struct("j", F.try_divide("w", F.sqrt(F.col("deg") * F.col("deg_j"))).alias("a"))
+    loop = F.struct(F.col("i").alias("j"), F.try_divide(F.lit(1.0), F.col("deg")).alias("a"))
+    return both.select("pos", "i", F.inline(F.when(F.col("k") == 1, F.array(edge, loop)).otherwise(F.array(edge))))
 
 
 def degrees(edges: DataFrame, weight: str = "w_tau") -> DataFrame:
@@ -84,6 +85,11 @@ def edge_topology(edges: DataFrame) -> DataFrame:
     return edges.groupBy("pos", "date").agg(F.avg("rho").alias("mean_correlation"), F.avg((F.col("w_tau") != 0).cast("double")).alias("graph_density"))
 
 
+def densities(edges: DataFrame, taus: dict[str, float]) -> DataFrame:
+    """(pos, one density a named threshold), in one pass."""
+    return edges.groupBy("pos").agg(*[F.avg((F.col("rho") > F.lit(t)).cast("double")).alias(name) for name, t in taus.items()])
+
+
 def density_at(edges: DataFrame, taus: list[float]) -> DataFrame:
     """(tau, pos, density) for any thresholds in one pass."""
     shares = [F.struct(F.lit(t).alias("tau"), F.avg((F.col("rho") > t).cast("double")).alias("density")) for t in taus]

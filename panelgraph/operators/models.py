@@ -157,13 +157,14 @@ class GraphNetwork:
 def graph_forecasts(features: DataFrame, columns: list[str], targets: DataFrame, adjacency: DataFrame, positions: DataFrame, grid: list[tuple[int, float]], seeds: int = 5, use_graph: bool = True, epochs: int = 300, name: str = "gcn") -> tuple[DataFrame, DataFrame]:
     """Predictions and (fold, hidden, dropout, val_mse) of a seed-averaged network selected per fold.
 
-    features must be standardised per fold. Each (fold, hidden, dropout, seed) is a task; averaging
-    over seeds and the choice of the configuration are DataFrame aggregates.
+    features must be standardised per fold. Each (fold, seed) is a task that fits all configurations, so
+    a fold travels once a seed; averaging over seeds and the choice of the configuration are DataFrame
+    aggregates.
     """
     spark = features.sparkSession
     edge = adjacency.groupBy("pos", F.col("i").alias("asset_ix")).agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "a"))), lambda s: s["a"]).alias("a"))
     rows = features.select("fold", "split", "pos", "asset", F.array(*columns).alias("x")).join(targets.select("pos", "asset", "asset_ix", "y", "target_date"), ["pos", "asset"]).join(edge, ["pos", "asset_ix"])
-    cells = spark.createDataFrame([(g, h, float(d), s) for g, (h, d) in enumerate(grid) for s in range(seeds)], "cell int, hidden int, dropout double, seed int")
+    cells = spark.range(seeds).select(F.col("id").cast("int").alias("seed"))
     schema = "fold int, cell int, hidden int, dropout double, split string, date date, asset string, y_true double, pred double"
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
@@ -177,17 +178,18 @@ def graph_forecasts(features: DataFrame, columns: list[str], targets: DataFrame,
         scale = np.float32(part["train"][2].std() or 1.0)
         for v in part.values():
             v[2] = v[2] / scale
-        fold, cell, seed = (int(p[c].iloc[0]) for c in ("fold", "cell", "seed"))
-        net = GraphNetwork(len(columns), int(p["hidden"].iloc[0]), float(p["dropout"].iloc[0]), np.random.default_rng([seed, fold, cell]))
-        net.fit(part["train"], part["val"], epochs)
+        fold, seed = (int(p[c].iloc[0]) for c in ("fold", "seed"))
         out = []
-        for split in ("val", "test"):
-            q = p[p["split"] == split]
-            pred = net.forward(part[split][0], part[split][1])[0] * scale
-            out.append(pd.DataFrame({"fold": fold, "cell": cell, "hidden": q["hidden"], "dropout": q["dropout"], "split": split, "date": q["target_date"], "asset": q["asset"], "y_true": q["y"], "pred": pred.reshape(-1).astype(float)}))
+        for cell, (hidden, dropout) in enumerate(grid):
+            net = GraphNetwork(len(columns), hidden, float(dropout), np.random.default_rng([seed, fold, cell]))
+            net.fit(part["train"], part["val"], epochs)
+            for split in ("val", "test"):
+                q = p[p["split"] == split]
+                pred = net.forward(part[split][0], part[split][1])[0] * scale
+                out.append(pd.DataFrame({"fold": fold, "cell": cell, "hidden": hidden, "dropout": float(dropout), "split": split, "date": q["target_date"], "asset": q["asset"], "y_true": q["y"], "pred": pred.reshape(-1).astype(float)}))
         return pd.concat(out)
 
-    made = rows.crossJoin(F.broadcast(cells)).groupBy("fold", "cell", "seed").applyInPandas(run, schema)  # a row a grid cell and seed
+    made = rows.crossJoin(F.broadcast(cells)).groupBy("fold", "seed").applyInPandas(run, schema)  # a row a seed
     mean_ = made.groupBy("fold", "cell", "hidden", "dropout", "split", "date", "asset").agg(F.first("y_true").alias("y_true"), F.avg("pred").alias("y_pred"))
     error = mean_.where("split = 'val'").groupBy("fold", "cell", "hidden", "dropout").agg(F.avg(F.pow(F.col("y_true") - F.col("y_pred"), F.lit(2.0))).alias("val_mse"))
     best = error.groupBy("fold").agg(F.min_by("cell", F.struct("val_mse", "cell")).alias("cell"))  # the first wins ties

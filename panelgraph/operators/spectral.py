@@ -13,6 +13,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelgraph.errors import GraphError
+from panelgraph.operators.evaluation import spearman
+
 COLUMNS = "pos int, date date, algebraic_connectivity double, algebraic_connectivity_combinatorial double, mst_length double, spectral_entropy double, market_mode_share double, eigs_outside_mp int, eigenvalues array<double>"
 
 
@@ -156,3 +159,31 @@ def threshold_null(returns: DataFrame, window: int, windows: int, replicas: int,
 def calibrated(null: DataFrame) -> DataFrame:
     """(tau, tau_fwer, n_windows): medians across windows."""
     return null.agg(F.median("tau").alias("tau"), F.median("tau_fwer").alias("tau_fwer"), F.count("*").alias("n_windows"))
+
+
+def plausible(tau: float, low: float = 0.10, high: float = 0.40) -> float:
+    """tau, if it lies inside the open interval; else a GraphError."""
+    if not low < tau < high:
+        raise GraphError(f"threshold {tau} is not between {low} and {high}")
+    return tau
+
+
+def threshold_record(null: DataFrame, config) -> DataFrame:
+    """One row: the calibrated thresholds with the settings they come from."""
+    parts = {"alpha": config.alpha, "permutations": config.permutations, "window": config.window, "seed": config.seed}
+    return calibrated(null).select("*", *[F.lit(v).alias(k) for k, v in parts.items()])
+
+
+def sign_gate(topology: DataFrame) -> DataFrame:
+    """(metric, rho) against the mean correlation; a GraphError if the market mode's share falls or the entropy rises with it.
+
+    Either means that an eigenvalue series is inverted; so does a value that is no number.
+    """
+    wanted = {"market_mode_share": 1.0, "spectral_entropy": -1.0}
+    bad = topology.where(" or ".join(f"{c} is null or isnan({c})" for c in (*wanted, "mean_correlation"))).count()
+    if bad:
+        raise GraphError(f"{bad} dates have a metric without a value")
+    rhos = {c: spearman(topology, c, "mean_correlation").first()["rho"] for c in wanted}
+    if wrong := [c for c, sign in wanted.items() if rhos[c] is not None and sign * rhos[c] < 0]:
+        raise GraphError(f"unexpected sign against the mean correlation: {wrong}")
+    return topology.sparkSession.createDataFrame(list(rhos.items()), "metric string, rho double")

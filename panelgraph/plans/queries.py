@@ -19,7 +19,7 @@ ORACLES: dict[str, str] = {}
 DIGITS = 7
 LARGE = 1e4
 #: Queries whose SQL holds for the plain variant only.
-WHOLE = {"gr3_threshold", "gr4_adjacency", "gr5_edge_density", "gr18_weighted_degree", "ag4_density_summary", "ag5_topology_summary", "ag6_isolated_windows", "prj12_sign_gate", "ev1_event_study", "ev4_event_tables", "jn11_fold_topology"}
+WHOLE = {"gr3_threshold", "gr4_adjacency", "gr5_edge_density", "gr18_weighted_degree", "ag4_density_summary", "ag5_topology_summary", "ag6_isolated_windows", "wn15_rank_correlation", "ev1_event_study", "ev4_event_tables", "jn11_fold_topology"}
 WHOLE |= {"md1_md2_predictions", "ag12_accuracy", "ag12_accuracy_by_asset", "ag12_accuracy_by_fold", "ag17_positive_skill", "st6_best_worst_fold", "ts1_daily_losses", "ts3_diebold_mariano", "jn9_so6_model_pairs", "bt1_rectangular", "bt2_bt3_positions", "wn10_turnover", "bt4_curves", "wn12_drawdown", "bt8_summary", "bt10_verdicts", "st7_best_tradable", "fg6_equity_curves"}
 
 
@@ -54,6 +54,14 @@ def query(name: str, parts: list[str] | None = None, select: str | None = None):
 ASSETS = [f"S{k}" for k in range(10)]
 PIVOT = ", ".join(f"[[MAX(CASE WHEN asset = '{a}' THEN {{0}} END)]] AS \"{a}\"" for a in ASSETS)
 
+
+
+def features_means(s: Study) -> DataFrame:
+    """(fold, x, y): the mean correlation and density of each fold's test dates."""
+    test = s.positions.where("split = 'test'").select("fold", "pos")
+    return s.topology.join(test, "pos").groupBy("fold").agg(F.avg("mean_correlation").alias("x"), F.avg("graph_density").alias("y"))
+
+
 # --- Sources, panels and their checks
 query("src4_bars", [], "SELECT date, asset, [[close]] AS close, [[volume]] AS volume, [[quote_volume]] AS quote_volume, trades FROM bars")(lambda s: s.bars)
 query("src3_date_range", [], "SELECT date, asset, [[close]] AS close, trades FROM bars WHERE date BETWEEN DATE '1996-01-01' AND DATE '1997-12-31'")(lambda s: panel.between(s.bars, "1996-01-01", "1997-12-31").select("date", "asset", "close", "trades"))
@@ -91,10 +99,11 @@ query("ag2_acf", _acf_sql("r"), "SELECT asset, lag, [[acf]] AS acf FROM ac")(lam
 query("ag2_acf_absolute", _acf_sql("ABS(r)"), "SELECT asset, lag, [[acf]] AS acf FROM ac")(lambda s: stats.acf(s.returns, 30, True))
 query("ag3_ljung_box_statistic", _acf_sql("r"), "SELECT asset, [[ANY_VALUE(n) * (ANY_VALUE(n) + 2) * SUM(acf * acf / (n - lag))]] AS lb_stat FROM ac WHERE lag > 0 GROUP BY asset")(lambda s: stats.ljung_box(s.returns, 30).select("asset", "lb_stat"))
 query("ts10_ljung_box")(lambda s: stats.ljung_box(s.returns, 30))
+ACF_BOTH = [*_acf_sql("r"), *[x.replace("xs AS", "xa AS").replace("vs AS", "va AS").replace("ac AS", "aa AS").replace("FROM xs", "FROM xa").replace("JOIN xs a", "JOIN xa a").replace("JOIN xs b", "JOIN xa b").replace("JOIN vs ON vs", "JOIN va ON va") for x in _acf_sql("ABS(r)")]]
 query(
-    "prj6_stylised_gate", [*_acf_sql("r"), MOM, "ku AS (SELECT asset, AVG(d * d * d * d) / POWER(AVG(d * d), 2) - 3 AS k FROM dv GROUP BY asset)"],
-    "SELECT asset, 'excess_kurtosis' AS \"check\", [[k]] AS value FROM ku WHERE k <= 0 UNION ALL SELECT asset, 'acf1', [[acf]] FROM ac WHERE lag = 1 AND ABS(acf) >= CASE WHEN asset = 'S3' THEN 0.6 ELSE 0.1 END",
-)(lambda s: stats.stylised_gate(stats.descriptive(s.returns, 52), stats.acf(s.returns, 1), stats.acf(s.returns, 1, True), exceptions={"S3": 0.6}).where("check <> 'abs_acf1'"))
+    "prj6_stylised_gate", [*ACF_BOTH, MOM, "ku AS (SELECT asset, AVG(d * d * d * d) / POWER(AVG(d * d), 2) - 3 AS k FROM dv GROUP BY asset)"],
+    "SELECT asset, 'excess_kurtosis' AS \"check\", [[k]] AS value FROM ku WHERE k <= 0 UNION ALL SELECT asset, 'acf1', [[acf]] FROM ac WHERE lag = 1 AND ABS(acf) >= CASE WHEN asset = 'S3' THEN 0.6 ELSE 0.1 END UNION ALL SELECT asset, 'abs_acf1', [[acf]] FROM aa WHERE lag = 1 AND acf <= 0.05",
+)(lambda s: stats.stylised_gate(stats.descriptive(s.returns, 52), stats.acf(s.returns, 1), stats.acf(s.returns, 1, True), exceptions={"S3": 0.6}))
 
 # --- Windows and graphs
 query("jn4_pairs", [EDGES], "SELECT pos, i, j, [[x]] AS x, [[y]] AS y FROM pr")(lambda s: graph.pairs(s.returns).drop("date"))
@@ -131,16 +140,22 @@ query(
     "SELECT CAST(k AS INTEGER) AS k, CASE WHEN k * 0.1 > POWER(1 - SQRT(0.5), 2) AND k * 0.1 < POWER(1 + SQRT(0.5), 2) THEN ROUND(SQRT((POWER(1 + SQRT(0.5), 2) - k * 0.1) * (k * 0.1 - POWER(1 - SQRT(0.5), 2))) / (2 * PI() * 0.5 * k * 0.1), 7) ELSE 0.0 END AS density FROM generate_series(1, 40) g(k)",
 )(lambda s: s.spark.range(1, 41).select(F.col("id").cast("int").alias("k"), graph.marchenko_pastur(F.col("id") * 0.1, 0.5).alias("density")))
 query("gr7_gr12_spectral_topology")(lambda s: s.spectra.drop("eigenvalues"))
-query("gr14_topology")(lambda s: s.topology.join(s.spectra.drop("date", "eigenvalues"), "pos"))
+query("gr14_topology")(lambda s: s.topology.join(graph.densities(s.edges, s.thresholds), "pos").join(s.spectra.drop("date", "eigenvalues"), "pos"))
+query("gr14_densities", [EDGES], "SELECT pos, [[AVG(CASE WHEN rho > 0.2 THEN 1.0 ELSE 0.0 END)]] AS graph_density_fixed, [[AVG(CASE WHEN rho > 0.35 THEN 1.0 ELSE 0.0 END)]] AS graph_density_fwer FROM edges GROUP BY pos")(
+    lambda s: graph.densities(s.edges, {"graph_density_fixed": 0.2, "graph_density_fwer": 0.35})
+)
+query("ts9_threshold_record")(lambda s: spectral.threshold_record(s.null, s.config.graph))
 query("gr15_regime_spectra")(lambda s: spectral.regime_spectra(s.spectra, s.topology))
 query("gr16_hierarchical_order")(lambda s: spectral.asset_order(s.edges))
 query("ts7_permutation_null")(lambda s: s.null)
 query("ts8_threshold")(lambda s: spectral.calibrated(s.null))
 query(
-    "prj12_sign_gate", [EDGES, "rk AS (SELECT RANK() OVER (ORDER BY mean_correlation) + (COUNT(*) OVER (PARTITION BY mean_correlation) - 1) / 2.0 AS a, RANK() OVER (ORDER BY graph_density) + (COUNT(*) OVER (PARTITION BY graph_density) - 1) / 2.0 AS b FROM topo)"],
+    "wn15_rank_correlation", [EDGES, "rk AS (SELECT RANK() OVER (ORDER BY mean_correlation) + (COUNT(*) OVER (PARTITION BY mean_correlation) - 1) / 2.0 AS a, RANK() OVER (ORDER BY graph_density) + (COUNT(*) OVER (PARTITION BY graph_density) - 1) / 2.0 AS b FROM topo)"],
     "SELECT [[COVAR_POP(a, b) / (STDDEV_POP(a) * STDDEV_POP(b))]] AS rho, COUNT(*) AS n FROM rk",
 )(lambda s: evaluation.spearman(s.topology, "mean_correlation", "graph_density"))
 
+query("prj12_sign_gate")(lambda s: spectral.sign_gate(s.topology.join(s.spectra.drop("date"), "pos")))
+
 # --- Events
 query("prj9_uncited_events", [EDGES, EVENTS], "SELECT event_key FROM ev WHERE citation = ''")(lambda s: events.without_citation(s.events))
 query("ev3_post_event_dates", [EDGES, EVENTS], "SELECT event_key, event_date + 60 AS post_date FROM ev")(lambda s: events.post_event_dates(s.events))
@@ -209,7 +224,10 @@ query("wn13_holm", [], "SELECT k, [[LEAST(1.0, MAX(p * (4 - rn + 1)) OVER (ORDER
 query("jn9_so6_model_pairs", [FOLDS], "SELECT DISTINCT LEAST(a.model, b.model) AS model_a, GREATEST(a.model, b.model) AS model_b FROM (SELECT DISTINCT model FROM pred) a JOIN (SELECT DISTINCT model FROM pred) b ON a.model <> b.model")(
     lambda s: s.dm.select(F.least("model_a", "model_b").alias("model_a"), F.greatest("model_a", "model_b").alias("model_b")).distinct()
 )
-query("ts6_rank_association")(lambda s: evaluation.rank_association(s.topology, "mean_correlation", "graph_density"))
+query(
+    "ts6_rank_association", [EDGES, FOLDS, "ft AS (SELECT fold, AVG(mean_correlation) AS x, AVG(graph_density) AS y FROM topo JOIN fpos USING (pos) WHERE split = 'test' GROUP BY fold), sl AS (SELECT MEDIAN((b.y - a.y) / (b.x - a.x)) AS s FROM ft a JOIN ft b ON a.x < b.x), rk AS (SELECT x, y, RANK() OVER (ORDER BY x) + (COUNT(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, RANK() OVER (ORDER BY y) + (COUNT(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM ft)"],
+    "SELECT [[COVAR_POP(rx, ry) / (STDDEV_POP(rx) * STDDEV_POP(ry))]] AS rho, [[ANY_VALUE(s)]] AS slope, [[MEDIAN(y) - ANY_VALUE(s) * MEDIAN(x)]] AS intercept, COUNT(*) AS n FROM rk, sl",
+)(lambda s: evaluation.rank_association(features_means(s), "x", "y").drop("p_value"))
 query("fg7_density_vs_skill")(lambda s: QUERIES["jn11_fold_topology_whole"](s.spark, s.sf_dir).join(evaluation.accuracy(s.predictions, "zero", ["fold"]).where("model = 'gcn'").select("fold", "skill_score"), "fold"))
 
 # --- Backtest
@@ -222,7 +240,20 @@ query(
     "bt8_summary", [FOLDS, BT],
     "SELECT model, cost_bps, n_days, [[mean_turnover]] AS mean_turnover, [[CASE WHEN last > 0 THEN POWER(last, 52.0 / n_days) - 1 END]] AS annualized_return, [[sd * SQRT(52)]] AS annualized_volatility, [[av / NULLIF(sd, 0) * SQRT(52)]] AS sharpe, [[max_drawdown]] AS max_drawdown, <<last - 1>> AS cumulative_return FROM bt",
 )(lambda s: s.backtest)
-query("bt10_verdicts", [FOLDS, BT], "SELECT model, cost_bps, CASE WHEN av / NULLIF(sd, 0) IS NULL THEN 'no position' WHEN last - 1 > 0 THEN 'gain after costs' ELSE 'loss after costs' END AS verdict FROM bt")(lambda s: backtest.verdicts(s.backtest))
+query(
+    "bt10_verdicts", [FOLDS, BT, "ends AS (SELECT model, MAX(CASE WHEN cost_bps = 0 THEN av / NULLIF(sd, 0) END) AS gross, MAX(CASE WHEN cost_bps = 10 THEN av / NULLIF(sd, 0) END) AS net FROM bt WHERE model <> 'buy-and-hold' GROUP BY model)"],
+    "SELECT model, CASE WHEN gross IS NULL THEN 'no position taken' WHEN net > 0 THEN 'survives the cost' WHEN gross > 0 THEN 'the cost consumes the edge' ELSE 'unprofitable either way' END AS verdict FROM ends",
+)(lambda s: backtest.verdicts(s.backtest))
+query(
+    "st2_st3_backtest_order", [FOLDS, BT],
+    "SELECT model, cost_bps, n_days, CAST(DENSE_RANK() OVER (ORDER BY cost_bps) - 1 AS INTEGER) AS cost_ix, CASE model WHEN 'zero' THEN 0 WHEN 'mean' THEN 1 WHEN 'ar1' THEN 2 ELSE 3 END AS model_ix FROM bt",
+)(lambda s: backtest.in_order(s.backtest.select("model", "cost_bps", "n_days"), ["zero", "mean", "ar1"]))
+query("st1_accuracy_order", [FOLDS, ACC], "SELECT fold, model, CAST(ROW_NUMBER() OVER (PARTITION BY fold ORDER BY SQRT(AVG(e2)), model) AS INTEGER) AS rank FROM sq GROUP BY fold, model")(
+    lambda s: evaluation.by_error(evaluation.checked_accuracy(s.predictions, "zero", ["fold"]), ["fold"]).select("fold", "model", "rank")
+)
+query("ts4_dm_statistics", [FOLDS, DM], "SELECT model_a, model_b, [[mean_d / SQRT(CASE WHEN v > 1e-30 THEN v END / n) * SQRT((n - 1.0) / n)]] AS statistic, n - 1 AS df, v IS NULL OR v <= 1e-30 AS identical FROM dm")(
+    lambda s: evaluation.dm_matrix(s.predictions).select("model_a", "model_b", "statistic", "df", "identical")
+)
 query("st7_best_tradable", [FOLDS, BT], "SELECT cost_bps, arg_max(model, av / sd) AS model, [[MAX(av / sd * SQRT(52))]] AS sharpe FROM bt WHERE sd > 0 AND av > 0 AND model <> 'buy-and-hold' GROUP BY cost_bps")(lambda s: backtest.best_tradable(s.backtest))
 query("fg6_equity_curves", [FOLDS, BT], "SELECT model, cost_bps, date, <<equity>> AS equity FROM cv WHERE model <> 'zero'")(lambda s: s.curves.where("model <> 'zero'").select("model", "cost_bps", "date", "equity"))
 query("rp3_backtest_table")(lambda s: s.backtest.groupBy("model").pivot("cost_bps", [0.0, 10.0]).agg(formats.number_column(F.first("sharpe")).alias("sharpe"), formats.number_column(F.first("max_drawdown")).alias("max_drawdown")))

@@ -34,7 +34,7 @@ class Study:
     @cached_property
     def bars(self) -> DataFrame:
         rows = self.spark.read.parquet(f"{self.sf_dir}/lineitem.parquet")
-        return panel.bars(rows, self.config.panel.unit, self.config.panel.assets)
+        return panel.bars(rows, self.config.panel.unit, self.config.panel.assets).persist()
 
     @cached_property
     def panel(self) -> DataFrame:
@@ -56,7 +56,13 @@ class Study:
 
     @cached_property
     def edges(self) -> DataFrame:
-        return graph.weighted(graph.rolling_correlation(self.returns, self.config.graph.window), self.tau)
+        return graph.weighted(graph.rolling_correlation(self.returns, self.config.graph.window), self.tau).persist()
+
+    @cached_property
+    def thresholds(self) -> dict[str, float]:
+        """The named thresholds beside the one of the graph: family-wise and constant."""
+        row = spectral.calibrated(self.null).first()  # one row
+        return {"graph_density_fwer": row["tau_fwer"], "graph_density_fixed": self.config.graph.tau}
 
     @cached_property
     def topology(self) -> DataFrame:
@@ -104,7 +110,7 @@ class Study:
         """zero, mean and ar1 in the plain variant; else the seven models that are compared, fitted once."""
         out = models.zero(self.tests).unionByName(models.mean(self.tests, self.train))
         if self.plain:
-            return out.unionByName(models.ar1(self.tests, self.train))
+            return out.unionByName(models.ar1(self.tests, self.train)).persist()
         lags = self.returns, self.tests, self.positions
         for more in (models.autoregressions(*lags)[0], models.autoregressions(*lags, joint=True, name="var-bic")[0], self.var_fixed(), self.network(True)[0], self.network(False)[0]):
             out = out.unionByName(more)

@@ -31,7 +31,8 @@ class Store:
         return f"{self.root}/{name}.parquet"
 
     def save(self, name: str, df: DataFrame, by: list[str] | None = None) -> None:
-        w = df.write.mode("overwrite")
+        """Replaces the table; one that is partitioned only in the partitions that df has."""
+        w = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic" if by else "static")
         (w.partitionBy(*by) if by else w).parquet(self.path(name))
 
     def load(self, name: str) -> DataFrame:
@@ -42,16 +43,21 @@ class Store:
                 raise MissingArtifactError(f"{self.path(name)} is missing; run the step '{WRITER.get(name, name)}' first") from e
             raise
 
-    def cached_klines(self, symbols: list[str], start: str, end: str, fetch) -> DataFrame:
-        """Typed candles of the range; fetch(symbols) refills the cache unless it covers the range."""
-        try:
-            have = self.load("klines").where(F.col("symbol").isin(symbols))
-            ends = have.groupBy("symbol").agg(F.min("date").alias("a"), F.max("date").alias("b"))
-            hit = ends.where(F.col("a") <= F.lit(start).cast("date")).where(F.col("b") >= F.lit(end).cast("date")).count() == len(set(symbols))
-        except MissingArtifactError:
-            hit = False
-        if not hit:
-            self.save("klines", typed(fetch(symbols)), by=["symbol"])
+    def cached_klines(self, symbols: list[str], start: str, end: str, fetch, force: bool = False) -> DataFrame:
+        """Typed candles of the range; fetch(symbols) refills the symbols that the cache does not cover, or all by force.
+
+        Other cached symbols stay as they are.
+        """
+        covered: set[str] = set()
+        if not force:
+            try:
+                have = self.load("klines").where(F.col("symbol").isin(symbols))
+                ends = have.groupBy("symbol").agg(F.min("date").alias("a"), F.max("date").alias("b"))
+                covered = {r["symbol"] for r in ends.where(F.col("a") <= F.lit(start).cast("date")).where(F.col("b") >= F.lit(end).cast("date")).collect()}  # a row a symbol asked for
+            except MissingArtifactError:
+                pass
+        if lacking := sorted(set(symbols) - covered):
+            self.save("klines", typed(fetch(lacking)), by=["symbol"])
         return self.load("klines").where(F.col("symbol").isin(symbols) & F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
 
 

@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 
 from panelgraph.config import FeatureConfig, FoldConfig, StudyConfig, config_hash, from_dict
-from panelgraph.errors import EvaluationError, FoldError, MissingArtifactError, PanelError
-from panelgraph.operators import backtest, evaluation, features, graph, models, panel, spectral, stats
+from panelgraph.errors import EvaluationError, FoldError, GraphError, MissingArtifactError, PanelError
+from panelgraph.operators import backtest, evaluation, events, features, graph, models, panel, spectral, stats
+from panelgraph.sources.store import Store
 
 DAY = datetime.date(2021, 1, 1)
 
@@ -241,3 +242,80 @@ def test_number_formats(spark):
     assert formats.plain_pvalue(0.0001) == "<0,001" and formats.plain_number(float("nan")) == "--"
     df = spark.createDataFrame([(1234.5,), (None,)], "x double")
     assert [r[0] for r in df.select(formats.number_column(df.x, 1)).collect()] == ["1\u00a0234,5", "--"]
+
+
+def test_strategies_are_read_by_their_sharpe_at_both_cost_levels(spark):
+    rows = [("a", 0.0, 1.0), ("a", 10.0, 0.2), ("b", 0.0, 0.5), ("b", 10.0, -0.1), ("c", 0.0, -0.5), ("c", 10.0, -0.9), ("d", 0.0, None), ("d", 10.0, None), (backtest.REFERENCE, 0.0, 1.0)]
+    got = {r.model: r.verdict for r in backtest.verdicts(spark.createDataFrame(rows, "model string, cost_bps double, sharpe double")).collect()}
+    assert got == {"a": backtest.SURVIVES, "b": backtest.CONSUMED, "c": backtest.UNPROFITABLE, "d": backtest.NO_POSITION}
+    order = backtest.in_order(spark.createDataFrame(rows, "model string, cost_bps double, sharpe double"), ["d", "a", "c", "b"]).collect()
+    assert [r.model for r in order[:5]] == ["d", "a", "c", "b", backtest.REFERENCE] and [r.cost_ix for r in order] == [0] * 5 + [1] * 4
+
+
+def test_comparisons_refuse_what_they_cannot_compare(spark):
+    import datetime
+
+    day = datetime.date(2020, 1, 1)
+    schema = "model string, date date, asset string, y_true double, y_pred double"
+    make = lambda name, off, n=6: [(name, day + datetime.timedelta(k), a, 0.1 * k, 0.1 * k + off * (k + 1)) for k in range(n) for a in ("x", "y")]
+    good = spark.createDataFrame(make("zero", 0.5) + make("m", 0.2), schema)
+    losses = evaluation.daily_losses(good)
+    assert evaluation.checked_diebold_mariano(losses, "zero", "m").first()["statistic"] > 0
+    for a, b, h in (("m", "m", 1), ("m", "zero", 0), ("m", "zero", 6), ("m", "absent", 1)):
+        with pytest.raises(EvaluationError):
+            evaluation.checked_diebold_mariano(losses, a, b, h)
+    same = evaluation.daily_losses(spark.createDataFrame(make("zero", 0.5) + make("m", 0.5), schema))
+    with pytest.raises(EvaluationError, match="does not vary"):
+        evaluation.checked_diebold_mariano(same, "zero", "m")
+    with pytest.raises(EvaluationError):
+        evaluation.checked_accuracy(good, "absent")
+    with pytest.raises(EvaluationError, match="no error"):
+        evaluation.checked_accuracy(spark.createDataFrame(make("zero", 0.0) + make("m", 0.1), schema), "zero")
+    with pytest.raises(EvaluationError, match="reference"):
+        backtest.checked(spark.createDataFrame(make(backtest.REFERENCE, 0.1), schema))
+    with pytest.raises(EvaluationError, match="rectangle"):
+        backtest.checked(good.where("not (model = 'm' and asset = 'y' and date = '2020-01-02')"))
+    with pytest.raises(EvaluationError):
+        evaluation.rank_association(spark.createDataFrame([(1.0, 2.0), (2.0, 1.0)], "x double, y double"), "x", "y")
+    assert backtest.checked(good) is good
+
+
+def test_topology_and_thresholds_are_gated(spark):
+    rows = [(0.1 * k, 0.1 * k, -0.1 * k) for k in range(8)]
+    names = "mean_correlation double, market_mode_share double, spectral_entropy double"
+    assert {r.metric: round(r.rho, 6) for r in spectral.sign_gate(spark.createDataFrame(rows, names)).collect()} == {"market_mode_share": 1.0, "spectral_entropy": -1.0}
+    with pytest.raises(GraphError, match="spectral_entropy"):
+        spectral.sign_gate(spark.createDataFrame([(a, b, -c) for a, b, c in rows], names))
+    with pytest.raises(GraphError, match="without a value"):
+        spectral.sign_gate(spark.createDataFrame([*rows, (0.5, float("nan"), 0.0)], names))
+    assert spectral.plausible(0.2) == 0.2
+    for tau in (0.1, 0.4, float("nan")):
+        with pytest.raises(GraphError):
+            spectral.plausible(tau)
+
+
+def test_events_may_stand_under_a_key_and_need_labels(tmp_path):
+    path = tmp_path / "e.yaml"
+    path.write_text("events:\n- {key: a, date: 2020-01-02, label: A}\n- {key: b, date: 2020-01-03, label: B, citation: c}\n")
+    assert [(r[0], r[2], r[4]) for r in events.load_events(str(path))] == [("a", "A", ""), ("b", "B", "c")]
+    for text in ("events: []", "- {key: a, date: 2020-01-02}", "- {date: 2020-01-02, label: A}", "- {key: a, date: soon, label: A}"):
+        path.write_text(text)
+        with pytest.raises(ValueError):
+            events.load_events(str(path))
+
+
+def test_a_refill_keeps_other_symbols(spark, tmp_path):
+    from panelgraph.sources.klines import RAW
+
+    asked = []
+
+    def fetch(symbols):
+        asked.append(symbols)
+        at = lambda k: 1_577_836_800_000 + k * 86_400_000
+        return spark.createDataFrame([(s, at(k), *["1"] * 5, at(k) + 1, "1", 1, "1", "1", "0") for s in symbols for k in range(3)], RAW)
+
+    store = Store(spark, str(tmp_path))
+    span = "2020-01-01", "2020-01-03"
+    assert store.cached_klines(["A"], *span, fetch).count() == 3 and store.cached_klines(["B", "A"], *span, fetch).count() == 6
+    assert store.cached_klines(["A"], *span, fetch).count() == 3 and asked == [["A"], ["B"]]
+    assert store.cached_klines(["A"], *span, fetch, force=True).count() == 3 and store.load("klines").count() == 6 and asked[-1] == ["A"]

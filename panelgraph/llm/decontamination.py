@@ -11,9 +11,12 @@ The test set is a stated query set: it goes to the executors in blocks whose tex
 BLOCK characters, and every block meets all documents. With few blocks (the usual case) that is
 one scan; nothing is shuffled.
 
-Defined cases: null or empty texts match nothing; items with fewer than MIN_CHARS normalised
-characters are not searched, as they say too little; equal items are searched once each under
-their own id. Other columns of the documents are not read.
+Defined cases: null or empty texts match nothing, and neither does an item without a letter or digit;
+items with fewer than SHORT normalised characters are searched whole and without error, between
+spaces or ends of the normalised text; equal items are searched each under their own id, and rows that
+repeat both id and text once; a null id is one of its own. An empty benchmark finds nothing, an empty
+table of documents gives an empty result, and equal documents each get their rows. Very long texts are
+searched whole, one at a time. Other columns of the documents are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +31,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ERRORS = 0.1
-MIN_CHARS = 40
+#: Items with fewer normalised characters must be found exactly.
+SHORT = 40
 BLOCK = 4_000_000
 #: Pieces beyond the error budget, and so exact pieces that every match must hold.
 HITS = 3
@@ -77,12 +81,16 @@ def least_distance(item: str, masks: dict[str, int], text: str, limit: int) -> t
 class Index:
     """The automaton over the pieces of a block of items (id, text)."""
 
-    def __init__(self, items: list[tuple[int, str]], errors: float = ERRORS, least: int = MIN_CHARS) -> None:
+    def __init__(self, items: list[tuple[int, str]], errors: float = ERRORS, short: int = SHORT) -> None:
         self.items: list[tuple[int, str, int, dict[str, int]]] = []
         at: dict[str, list[tuple[int, int]]] = {}
         for key, text in items:
             t = normalise(text)
-            if len(t) < least:
+            if not t:
+                continue
+            if len(t) < short:
+                at.setdefault(t, []).append((len(self.items), -1))
+                self.items.append((key, t, 0, {}))
                 continue
             e = int(errors * len(t))
             masks: dict[str, int] = {}
@@ -126,11 +134,15 @@ class Index:
         if not self.items or len(t) < 1:
             return []
         starts: dict[int, list[tuple[int, int]]] = {}
+        whole: dict[int, tuple[int, int, int, int]] = {}
         for end, (n, where) in self.automaton.iter(t):
             for k, off in where:
-                starts.setdefault(k, []).append((end + 1 - n - off, off))
+                if off >= 0:
+                    starts.setdefault(k, []).append((end + 1 - n - off, off))
+                elif k not in whole and t[end - n : end - n + 1] in ("", " ") and t[end + 1 : end + 2] in ("", " "):
+                    whole[k] = self.items[k][0], 0, end + 1 - n, end + 1
         windows = {k: w for k, hits in starts.items() if len(hits) >= HITS and (w := self._windows(k, hits, len(t)))}
-        out = []
+        out = list(whole.values())
         for k, spans in windows.items():
             key, item, e, masks = self.items[k]
             found = None
@@ -142,14 +154,14 @@ class Index:
                         break
             if found:
                 out.append(found)
-        return sorted(out)
+        return sorted(out, key=lambda x: (x[0] is not None, x))
 
 
 def blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
     """The items in blocks of at most BLOCK characters; one block is on the driver at a time."""
     block: list[tuple[int, str]] = []
     size = 0
-    for row in benchmark.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long"), text_col).orderBy(id_col, text_col).toLocalIterator():
+    for row in benchmark.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias(id_col), text_col).distinct().orderBy(id_col, text_col).toLocalIterator():
         block.append((row[0], row[1]))
         size += len(row[1])
         if size >= BLOCK:

@@ -24,6 +24,7 @@ import re
 from array import array
 from collections import Counter
 from collections.abc import Iterator
+from math import exp, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -89,14 +90,17 @@ class Model:
         same = len(low) == len(text)  # a few letters become longer, so then each sentence is lowered by itself
         unknown = False
         for m in _SENTENCE.finditer(low if same else text):
-            known = [z for z in map(of.__getitem__, _WORD.findall(m.group() if same else m.group().lower())) if z is not None]
+            z, known = self.bias, False
+            for w in _WORD.findall(m.group() if same else m.group().lower()):
+                if (x := of[w]) is not None:
+                    z += x
+                    known = True
             if not known:
                 unknown = True
                 continue
-            z = self.bias + sum(known)
-            clean += np.logaddexp(0.0, z)
+            clean += (max(z, 0.0) + log1p(exp(-abs(z)))) if z > -30 else exp(z)
             if z > 0:
-                found.append((*m.span(), float(1 / (1 + np.exp(-z)))))
+                found.append((*m.span(), 1 / (1 + exp(-z))))
         return float(-np.expm1(-(clean + (base if unknown else 0.0)))), found
 
 
@@ -154,14 +158,15 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
 def score_documents(docs: DataFrame, model: Model, carry: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """row_ (a struct of the carried columns), score_, and offending_: an array of (start, end, score) of sentences."""
     added = T.StructType.fromDDL("score_ double, offending_ array<struct<start:int,end:int,score:double>>")
-    body = docs.select(F.struct(*carry).alias("row_"), F.col(text_col).alias("text_"))
+    at = carry.index(text_col) if text_col in carry else None  # a text that is carried travels once
+    body = docs.select(F.struct(*carry).alias("row_"), *([F.col(text_col).alias("text_")] if at is None else []))
     schema = T.StructType([body.schema["row_"], *added.fields])
     found = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores, spans = [], []
-            for t in batch.column(1):
+            for t in batch.column(1) if at is None else batch.column(0).field(at):
                 s, f = model.score(t.as_py())
                 scores.append(s)
                 spans.append([{"start": a, "end": b, "score": p} for a, b, p in f])

@@ -281,9 +281,39 @@ def test_decontamination_finds_edited_items_only(spark, docs, empty):
     got = {(r.doc_id, r.item_id): r.distance for r in matches(d, bench).collect()}
     assert got == {(1, 7): 0, (2, 7): 3}
     assert {r.doc_id for r in clean(d, bench).collect()} == {3, 4, 5}
+    texts = ["ten-Letters, indeed", "tenletters", "xten letters", "ten letter", "so: TEN letters", "ten letters" * 2]
+    few = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    short = spark.createDataFrame([(1, "ten letters"), (2, "!?"), (None, "so ten")], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in matches(few, short).where("item_id is not null").collect()) == [(0, 1), (4, 1)]
+    assert [(r.doc_id, r.item_id) for r in matches(few, short).where("item_id is null").collect()] == [(4, None)]
     assert matches(empty, bench).count() == 0 and clean(docs, bench.limit(0)).count() == docs.count()
 
 
+def test_the_search_finds_all_that_dynamic_programming_finds(spark):
+    rng = random.Random(31)
+
+    def plain(p, t):
+        row, best = list(range(len(p) + 1)), len(p)
+        for c in t:
+            new = [0]
+            for k, q in enumerate(p, 1):
+                new.append(min(row[k - 1] + (q != c), row[k] + 1, new[k - 1] + 1))
+            row, best = new, min(best, new[-1])
+        return best
+
+    items = [(k, prose(rng, 14)) for k in range(6)]
+    docs = []
+    for k in range(40):
+        w = list(items[k % 6][1])
+        for _ in range(rng.randint(0, 9)):
+            at = rng.randrange(len(w))
+            w[at : at + rng.randint(0, 1)] = rng.choice(["", "q", "zz", " "])
+        docs.append((k, prose(rng, rng.randint(0, 9)) + " " + "".join(w) + " " + prose(rng, rng.randint(0, 9))))
+    got = {(r.doc_id, r.item_id): r.distance for r in matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {(d, i): e for d, t in docs for i, p in items if (e := plain(normalise(p), normalise(t))) <= int(0.1 * len(normalise(p)))}
+    assert got == want and 5 < len(want) < 40
+
+
 def test_bit_parallel_distance_is_the_edit_distance():
     rng = random.Random(8)
 
@@ -303,7 +333,7 @@ def test_bit_parallel_distance_is_the_edit_distance():
             masks[c] = masks.get(c, 0) | 1 << i
         hit = least_distance(p, masks, t, len(p))
         assert (hit[0] if hit else len(p)) == plain(p, t)
-    assert Index([(1, "x")]).search("x") == [] and normalise("A--b_C") == "a b c"
+    assert Index([(1, "x")]).search("x") == [(1, 0, 0, 1)] and Index([(1, "x")]).search("xx") == [] and normalise("A--b_C") == "a b c"
 
 
 def test_targets_fill_up_and_flow_is_cheapest():

@@ -15,7 +15,8 @@ The rest of the text is untouched. Everything is an expression over one row: no
 Defined cases: null texts stay null and have no findings, empty ones stay empty; candidates that
 fail validation stay as they are; of the parts of a run of digits (or of an IBAN's characters) that
 start and end at separators, the leftmost longest valid one counts (a number that passes by chance
-gives way to a card in printed groups that starts inside it); a candidate inside another one counts once, as the longest leading alternative of the pattern. Other columns of the input are not read.
+gives way to a card in printed groups that starts inside it); a candidate inside another one counts once, as the longest leading alternative of the pattern. Repeated rows are treated alike, very long texts whole;
+an empty table gives an empty result. Other columns of the input are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -155,11 +156,35 @@ def pattern_of(numbers: Column) -> Column:
     return F.when(F.size(numbers) > 0, F.concat(F.lit(PLAIN + r"|\b(?:"), F.array_join(numbers, "|"), F.lit(r")\b"))).otherwise(F.lit(PLAIN))
 
 
+def _slashed(m: Column, key: str) -> Column:
+    """A date between slashes as another one; null if it is none in either notation.
+
+    All strings that are a day of 1900 to 2099 as day/month or as month/day are numbered once: the former by
+    their day, then those that only the latter reads (days above 12) in order. So the map is one permutation.
+    """
+    start = F.lit(FIRST_DAY).cast("date")
+    inside = lambda x: F.when((x >= 0) & (x < DAYS), x)
+    text = F.when(m.rlike("^../"), m)
+    first = inside(F.datediff(F.try_to_date(text, "dd/MM/yyyy"), start).cast("long"))
+    other = F.try_to_date(text, "MM/dd/yyyy")
+    months = (F.year(other) - 1900) * 12 + F.month(other) - 1
+    n = DAYS + DAYS - 12 * 2400  # 2400 months, in each 12 days that are read as day/month
+    a, b = sides(n)
+    x = F.coalesce(first, inside(F.datediff(other, start).cast("long")) - 12 * (months + 1) + DAYS)
+    y = permute_below(x, F.lit(n).cast("long"), F.lit(a).cast("long"), F.lit(b).cast("long"), f"{key}:slashed")
+    r = y - DAYS
+    before = lambda k: F.datediff(F.add_months(start, k), start) - 12 * k  # days above 12 before month k
+    guess = F.floor(r * 2400 / (DAYS - 12 * 2400)).cast("int")
+    month = F.coalesce(*[F.when(before(guess + k) <= r, guess + k) for k in (2, 1, 0, -1, -2)])
+    late = F.date_add(F.add_months(start, month), (12 + r - before(month)).cast("int"))
+    return F.when(y < DAYS, F.date_format(F.date_add(start, y.cast("int")), "dd/MM/yyyy")).otherwise(F.date_format(late, "MM/dd/yyyy"))
+
+
 def date(m: Column, key: str) -> Column:
-    """A day of 1900 to 2099 as another one, in the same notation; null if there is no such day."""
-    out = F.lit(None).cast("string")
+    """A day of 1900 to 2099 as another one, in the same notation (slashes: in one of the two); null if there is no such day."""
+    out = _slashed(m, key)
     a, b = sides(DAYS)
-    for fmt, shape in (("MM/dd/yyyy", "^../"), ("dd/MM/yyyy", "^../"), ("dd.MM.yyyy", r"^..\."), ("yyyy-MM-dd", "^....-")):
+    for fmt, shape in (("dd.MM.yyyy", r"^..\."), ("yyyy-MM-dd", "^....-")):
         day = F.datediff(F.try_to_date(F.when(m.rlike(shape), m), fmt), F.lit(FIRST_DAY).cast("date")).cast("long")
         new = permute_below(F.when((day >= 0) & (day < DAYS), day), F.lit(DAYS).cast("long"), F.lit(a).cast("long"), F.lit(b).cast("long"), f"{key}:date")
         out = F.coalesce(F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), new.cast("int")), fmt), out)

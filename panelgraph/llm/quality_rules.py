@@ -11,7 +11,8 @@ characters is rejected, and so is one that fails the base rules. Nothing is shuf
 is an expression over one row, with time n log n in the length of the text.
 
 Defined cases: null and empty texts have no words, fail the base and are not kept; lines that
-are equal count as repeated from the second on; other columns of the input are not read.
+are equal count as repeated from the second on; rows that repeat an id are judged each by its text;
+an empty table gives an empty result; very long texts are judged whole. Other columns of the input are not read, whatever their names.
 """
 
 from __future__ import annotations

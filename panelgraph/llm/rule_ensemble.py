@@ -9,7 +9,10 @@
 
 Scoring is one narrow projection. Defined cases: null and empty texts have statistics of 0 and get
 a score like any other; if there is no label to learn from, the score is 0.5, and if all labels
-are equal it is that label's. Other columns of the input are not read.
+are equal it is that label's. Rules that hold for the same rows of the sample are one; ties in strength go to
+the earlier rule. Rows that repeat an id are scored each by its text, and the least of them is learnt from;
+an empty table gives an empty result; very long texts are measured whole. Other columns of the input
+are not read, whatever their names.
 """
 
 from __future__ import annotations

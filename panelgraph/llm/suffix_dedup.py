@@ -15,13 +15,15 @@ or earlier in the same document) is removed.
    but the earliest are repeats.
 4. A key with more bytes than a shard is cut into several. Each of them also emits its classes'
    earliest starts with a 128-bit digest of the string, and the earliest of a digest over all
-   shards wins. So no key is ever held in one task as a whole.
+   shards wins. So no suffix array grows with a key; the segments of one key (five longs each) do meet
+   in one task, sorted and streamed, when its equal ones are found and when its bytes are read.
 5. Repeats are gathered per document and its bytes are cut.
 
 Defined cases: a null or empty text has no byte; texts under 100 bytes lose nothing; a null id
 counts as smaller than any other. Rows that repeat both id and text are the same document (neither
-is earlier, each gets the same result); texts of one id that differ are ordered by their hash.
-Other columns of the input are not read.
+is earlier, each gets the same result); texts of one id that differ are ordered by their hash; an empty
+table gives an empty result. A very long text is hashed whole in one task, at some 40 bytes of memory a byte.
+Other columns of the input are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -70,8 +70,8 @@ LEVELS = (2, 4, 6, 8, 10)
 OPEN = 256
 #: Bits of the sketch of a difference: the parity of its tokens with each hash. Two sketches differ in no more bits than the sets in tokens.
 SKETCH = 512
-#: Bits of the bitmaps of tokens, of tokens that occur once only (inverted) and of documents to verify.
-TOKEN_BITS, SHARED_BITS, ID_BITS = 25, 26, 22
+#: Bits of the bitmaps of frequent tokens, of tokens of several documents and of documents to verify.
+TOKEN_BITS, SHARED_BITS, ID_BITS = 24, 25, 22
 #: Tokens of a size class go to 2**class / PART parts.
 PART = 8
 #: Parts of a hot combination before it is counted.

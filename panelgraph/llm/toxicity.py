@@ -114,12 +114,29 @@ def fit(texts: list[str], y: np.ndarray) -> Model:
     if not vocab or y.min(initial=1) == y.max(initial=0):
         return Model({}, -30.0)
     index = {w: k for k, w in enumerate(vocab)}
+    # Sentences hold words and words hold features, so the sums below run over words, of which there are far fewer.
+    number: dict[str, int] = {}
+    of_word, of_feature = array("i"), array("i")
+
+    def numbered(word: str) -> int:
+        """The number of a word with a feature in index, -1 of any other."""
+        if word not in number:
+            known = [index[f] for f in features(word) if f in index]
+            number[word] = numbered.next if known else -1
+            if known:
+                of_word.extend([numbered.next] * len(known))
+                of_feature.extend(known)
+                numbered.next += 1
+        return number[word]
+
+    numbered.next = 0
     row, col, val, doc = array("i"), array("i"), array("f"), array("i")
     n = 0
     for d, t in enumerate(texts):
         unknown = False
         for a, b in sentences(t):
-            known = Counter(index[f] for w in _WORD.findall(t[a:b].lower()) for f in features(w) if f in index)
+            known = Counter(map(numbered, _WORD.findall(t[a:b].lower())))
+            known.pop(-1, None)
             if not known and unknown:
                 continue
             unknown = unknown or not known
@@ -128,18 +145,20 @@ def fit(texts: list[str], y: np.ndarray) -> Model:
             val.extend(known.values())
             doc.append(d)
             n += 1
-    row, col, val, doc = (np.array(x) for x in (row, col, val, doc))
+    n_words = numbered.next
+    del number
+    row, col, val, doc, of_word, of_feature = (np.array(x) for x in (row, col, val, doc, of_word, of_feature))
     share = y.mean()
     weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))  # either class counts alike
     w, bias = np.zeros(len(vocab)), -4.0
     m1, m2, b1, b2 = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for step in range(1, STEPS + 1):
-        z = bias + np.bincount(row, val * w[col], n)
+        z = bias + np.bincount(row, val * np.bincount(of_word, w[of_feature], n_words)[col], n)
         clean = np.bincount(doc, np.logaddexp(0.0, z), len(texts))  # -log of the noisy-or's product
         # d loss / d clean: 1 for label 0, -1 / (exp(clean) - 1) for label 1.
         g = np.where(y == 1, -1.0 / np.maximum(np.expm1(np.minimum(clean, 50.0)), 1e-6), 1.0) * weight / len(texts)
         gz = g[doc] / (1.0 + np.exp(np.minimum(-z, 50.0)))
-        gw, gb = np.bincount(col, gz[row] * val, len(w)), gz.sum()
+        gw, gb = np.bincount(of_feature, np.bincount(col, gz[row] * val, n_words)[of_word], len(w)), gz.sum()
         m1, m2 = 0.9 * m1 + 0.1 * gw, 0.999 * m2 + 0.001 * gw * gw
         b1, b2 = 0.9 * b1 + 0.1 * gb, 0.999 * b2 + 0.001 * gb * gb
         c1, c2 = 1 - 0.9**step, 1 - 0.999**step

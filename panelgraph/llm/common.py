@@ -16,7 +16,19 @@ WORD = r"[^\x20\x09-\x0D]+"
 _fallback: dict[str, str] = {}
 
 
+#: Rows of a batch between the JVM and Python: texts can be long, and a batch is held several times.
+BATCH = 1000
+
+
+def modest_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows a batch to BATCH; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH:
+        spark.conf.set(name, str(BATCH))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    modest_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -39,6 +51,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     The files survive the loss of executors; Spark repeats only unfinished tasks.
     """
     spark = df.sparkSession
+    modest_batches(spark)
     path = f"{shared_dir(spark).rstrip('/')}/tables/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

@@ -19,7 +19,7 @@ ORACLES: dict[str, str] = {}
 DIGITS = 7
 LARGE = 1e4
 #: Queries whose SQL holds for the plain variant only.
-WHOLE = {"gr3_threshold", "gr4_adjacency", "gr5_edge_density", "gr18_weighted_degree", "ag4_density_summary", "ag5_topology_summary", "ag6_isolated_windows", "wn15_rank_correlation", "ev1_event_study", "ev4_event_tables", "jn11_fold_topology"}
+WHOLE = {"rp3_backtest_table", "gr3_threshold", "gr4_adjacency", "gr5_edge_density", "gr18_weighted_degree", "ag4_density_summary", "ag5_topology_summary", "ag6_isolated_windows", "wn15_rank_correlation", "ev1_event_study", "ev4_event_tables", "jn11_fold_topology"}
 WHOLE |= {"md1_md2_predictions", "ag12_accuracy", "ag12_accuracy_by_asset", "ag12_accuracy_by_fold", "ag17_positive_skill", "st6_best_worst_fold", "ts1_daily_losses", "ts3_diebold_mariano", "jn9_so6_model_pairs", "bt1_rectangular", "bt2_bt3_positions", "wn10_turnover", "bt4_curves", "wn12_drawdown", "bt8_summary", "bt10_verdicts", "st7_best_tradable", "fg6_equity_curves"}
 
 
@@ -229,6 +229,11 @@ query(
     "SELECT [[COVAR_POP(rx, ry) / (STDDEV_POP(rx) * STDDEV_POP(ry))]] AS rho, [[ANY_VALUE(s)]] AS slope, [[MEDIAN(y) - ANY_VALUE(s) * MEDIAN(x)]] AS intercept, COUNT(*) AS n FROM rk, sl",
 )(lambda s: evaluation.rank_association(features_means(s), "x", "y").drop("p_value"))
 query("fg7_density_vs_skill")(lambda s: QUERIES["jn11_fold_topology_whole"](s.spark, s.sf_dir).join(evaluation.accuracy(s.predictions, "zero", ["fold"]).where("model = 'gcn'").select("fold", "skill_score"), "fold"))
+query(
+    "fg7_density_vs_skill_plain", [EDGES, FOLDS, ACC],
+    "SELECT fold, t.mean_density, [[1 - g.mse / NULLIF(b.mse, 0)]] AS skill_score FROM (SELECT fold, [[AVG(graph_density)]] AS mean_density FROM topo JOIN fpos USING (pos) WHERE split = 'test' GROUP BY fold) t "
+    "JOIN (SELECT fold, AVG(e2) AS mse FROM sq WHERE model = 'ar1' GROUP BY fold) g USING (fold) JOIN (SELECT fold, AVG(e2) AS mse FROM sq WHERE model = 'zero' GROUP BY fold) b USING (fold)",
+)(lambda s: features_means(s).select("fold", F.col("y").alias("mean_density")).join(evaluation.accuracy(s.predictions, "zero", ["fold"]).where("model = 'ar1'").select("fold", "skill_score"), "fold"))
 
 # --- Backtest
 query("bt1_rectangular", [FOLDS], "SELECT model, COUNT(DISTINCT date) * COUNT(DISTINCT asset) - COUNT(DISTINCT (date, asset)) AS missing, COUNT(*) - COUNT(DISTINCT (date, asset)) AS duplicates FROM pred GROUP BY model")(lambda s: backtest.rectangular_gaps(s.predictions))
@@ -256,7 +261,12 @@ query("ts4_dm_statistics", [FOLDS, DM], "SELECT model_a, model_b, [[mean_d / SQR
 )
 query("st7_best_tradable", [FOLDS, BT], "SELECT cost_bps, arg_max(model, av / sd) AS model, [[MAX(av / sd * SQRT(52))]] AS sharpe FROM bt WHERE sd > 0 AND av > 0 AND model <> 'buy-and-hold' GROUP BY cost_bps")(lambda s: backtest.best_tradable(s.backtest))
 query("fg6_equity_curves", [FOLDS, BT], "SELECT model, cost_bps, date, <<equity>> AS equity FROM cv WHERE model <> 'zero'")(lambda s: s.curves.where("model <> 'zero'").select("model", "cost_bps", "date", "equity"))
-query("rp3_backtest_table")(lambda s: s.backtest.groupBy("model").pivot("cost_bps", [0.0, 10.0]).agg(formats.number_column(F.first("sharpe")).alias("sharpe"), formats.number_column(F.first("max_drawdown")).alias("max_drawdown")))
+RP3 = ", ".join(
+    f"MAX(CASE WHEN cost_bps = {c} THEN CASE WHEN {x} IS NULL THEN '{formats.MISSING}' ELSE replace(format('{{:.3f}}', {x}), '.', ',') END END) AS \"{c}_{name}\""
+    for c in (0.0, 10.0)
+    for name, x in (("sharpe", "av / NULLIF(sd, 0) * SQRT(52)"), ("max_drawdown", "max_drawdown"))
+)
+query("rp3_backtest_table", [FOLDS, BT], f"SELECT model, {RP3} FROM bt GROUP BY model")(lambda s: s.backtest.groupBy("model").pivot("cost_bps", [0.0, 10.0]).agg(formats.number_column(F.first("sharpe")).alias("sharpe"), formats.number_column(F.first("max_drawdown")).alias("max_drawdown")))
 
 # --- Beyond the study's tables
 QUERIES["ss1_event_bars"] = lambda spark, d: rounded(event_bars(spark.read.parquet(f"{d}/events.parquet")))

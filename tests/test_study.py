@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 from panelgraph.config import ModelConfig, StudyConfig
@@ -44,3 +45,14 @@ def test_all_seven_models_are_compared(spark):
     study = Study(spark, MEDIUM, StudyConfig(models=ModelConfig(hidden=(2,), dropout=(0.2,), seeds=1, epochs=2)))
     rows = {r["model"]: r["count"] for r in study.predictions.groupBy("model").count().collect()}
     assert set(rows) == {"zero", "mean", "ar", "var-bic", "var-p5", "gcn", "gcn-nograph"} and len(set(rows.values())) == 1
+
+
+def test_the_sign_gate_reports_assets_without_a_common_mode(spark):
+    """At sf0.01 the mean correlation is about 0, so that both signs are the other way round."""
+    got = {r.metric: r for r in QUERIES["prj12_sign_gate"](spark, MEDIUM).collect()}
+    study = Study(spark, MEDIUM)
+    t = study.topology.join(study.spectra.drop("date"), "pos").toPandas()
+    for c in ("market_mode_share", "spectral_entropy"):
+        assert abs(got[c].rho - np.corrcoef(t[c].rank(), t.mean_correlation.rank())[0, 1]) < 1e-6
+        assert not got[c].passes and got[c].n_undefined == 0
+    assert got["market_mode_share"].rho < 0 < got["spectral_entropy"].rho

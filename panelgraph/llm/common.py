@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +31,43 @@ def modest_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH))
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow, after which the worker gives back what it has freed.
+
+    Workers live on from task to task and from one operator to the next; without this each keeps the
+    peak of all tasks before.
+    """
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+            if trim:
+                trim(0)
+
+    return whole
+
+
+#: Share of the driver's largest heap from which on a written table is followed by a collection.
+HEAP = 0.5
+
+
+def tidy_driver(spark: SparkSession) -> None:
+    """Collects the driver's garbage when its heap has grown large.
+
+    A job of hundreds of small plans leaves much garbage behind, and the collector would rather take more memory from the
+    system than stop for it; a whole collection shrinks the heap. Shuffle files and broadcasts that
+    nothing refers to are removed on it, too.
+    """
+    gc.collect()  # Python's references to the JVM's objects
+    runtime = spark._jvm.java.lang.Runtime.getRuntime()
+    if runtime.totalMemory() > HEAP * runtime.maxMemory():
+        spark._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     modest_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -54,6 +95,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     modest_batches(spark)
     path = f"{shared_dir(spark).rstrip('/')}/tables/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    tidy_driver(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._table_path = path
     return out

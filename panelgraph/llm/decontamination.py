@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelgraph.llm.common import tidy
+
 ERRORS = 0.1
 #: Items with fewer normalised characters must be found exactly.
 SHORT = 40
@@ -190,7 +192,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
                 kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True))], names=names)
 
-        part = docs.select(id_col, text_col).mapInArrow(run, schema)
+        part = docs.select(id_col, text_col).mapInArrow(tidy(run), schema)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -205,5 +207,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", errors:
             for batch in batches:
                 yield batch.filter(pa.array([not index.search(t.as_py()) for t in batch.column(at)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidy(run), docs.schema)
     return docs

@@ -53,7 +53,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelgraph.llm.bitmap import bitmap, in_bitmap
-from panelgraph.llm.common import discard, join_skewed, materialize
+from panelgraph.llm.common import discard, join_skewed, materialize, tidy
 from panelgraph.llm.components import components
 from panelgraph.llm.shingles import digest, mix, parts, shingle_sets
 
@@ -142,7 +142,7 @@ def token_classes(texts: DataFrame, seed: int) -> list[np.ndarray]:
     """Bitmaps of lower tokens: those of several documents, then frequent ones from an adaptive count on and from higher ones."""
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Repartitioned first: summing unique tokens before the shuffle is in vain, and hot ones are summed by their tasks.
-    counts = texts.mapInArrow(_lower(seed), "sig long, n long").repartition(n, "sig").groupBy("sig").agg(F.sum("n").alias("n")).where("n > 1")
+    counts = texts.mapInArrow(tidy(_lower(seed)), "sig long, n long").repartition(n, "sig").groupBy("sig").agg(F.sum("n").alias("n")).where("n > 1")
     counts = materialize(counts, "token-counts")
     sizes = counts.groupBy(F.floor(F.log2("n")).cast("int").alias("k")).agg(F.count("*").alias("n")).collect()  # a row a power of two
     k, total = 64, 0
@@ -315,7 +315,7 @@ class Corpus:
     """The classes of a table: which document stands for which, and their sets on demand."""
 
     def __init__(self, rows: DataFrame) -> None:
-        named, seed = rows.mapInArrow(_named(0), "id long, n long, d1 long, d2 long"), 0
+        named, seed = rows.mapInArrow(tidy(_named(0)), "id long, n long, d1 long, d2 long"), 0
         while True:
             self.members = materialize(named, "shingle-sets")
             group = self.members.where("id is not null and n > 0").groupBy(F.col("d1").alias("node"))
@@ -323,7 +323,7 @@ class Corpus:
             if self.classes.where("lo <> hi").isEmpty():
                 break
             seed += 1  # two sets share half a digest: take other digests
-            named = rows.mapInArrow(_named(seed), "id long, n long, d1 long, d2 long")
+            named = rows.mapInArrow(tidy(_named(seed)), "id long, n long, d1 long, d2 long")
         self.texts, self.seed = rows.where("id is not null and text is not null"), seed
 
     def compared(self, pairs: DataFrame, changes: DataFrame | None = None) -> DataFrame:
@@ -341,7 +341,7 @@ class Corpus:
         both = pairs.select("node").unionByName(pairs.select(F.col("centre").alias("node"))).distinct()
         ids = both.join(self.classes, "node").select(F.col("rep").alias("h"))
         wanted = pairs.sparkSession.sparkContext.broadcast(bitmap(ids, ID_BITS))
-        sets = self.texts.mapInArrow(_sets(wanted, self.seed), "node long, tokens array<long>")
+        sets = self.texts.mapInArrow(tidy(_sets(wanted, self.seed)), "node long, tokens array<long>")
         counts = materialize(pairs.groupBy("centre").agg(F.count("*").alias("size")), "centre-sizes")
         salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / SALTED)).cast("int")
         pairs = join_skewed(pairs, counts, "centre", "size").select("centre", salt.alias("salt"), F.lit(1).alias("role"), "node")
@@ -357,7 +357,7 @@ class Corpus:
         width = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         sent = sets.join(pairs.unionByName(hubs), "node").select(*names)
         sent = sent.repartition(width, "centre", "salt").sortWithinPartitions("centre", "salt", "role")
-        return sent.mapInArrow(_compare(changes is not None), COMPARED)
+        return sent.mapInArrow(tidy(_compare(changes is not None)), COMPARED)
 
     def label(self, links: DataFrame, more: DataFrame | None = None) -> DataFrame:
         """(node, component) of documents: the smallest that each reaches by links (a, b) of classes and more ones (x, y) of documents."""
@@ -375,7 +375,7 @@ def sized(entries: DataFrame) -> DataFrame:
 def first_lists(corpus: Corpus) -> DataFrame:
     """(sig, node, np, size): the lists of step 2 with two members or more."""
     shared = corpus.texts.sparkSession.sparkContext.broadcast(token_classes(corpus.texts, corpus.seed))
-    entries = corpus.texts.mapInArrow(_emit(shared, corpus.seed), ENTRY)
+    entries = corpus.texts.mapInArrow(tidy(_emit(shared, corpus.seed)), ENTRY)
     hot = F.col("sig").bitwiseAND(1) == 1
     entries = entries.withColumn("salt", F.when(hot, F.pmod(F.xxhash64("node"), F.lit(SALTS))).otherwise(0))
     part = Window.partitionBy("sig", "salt")

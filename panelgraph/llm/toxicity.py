@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelgraph.llm.common import is_held_out
+from panelgraph.llm.common import is_held_out, tidy
 from panelgraph.llm.labelled import sample
 
 MIN_DOCS = 3
@@ -63,7 +63,7 @@ class _Weights(dict):
         self.of = of
 
     def __missing__(self, word: str) -> float | None:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         known = [self.of[f] for f in features(word) if f in self.of]
         x = self[word] = sum(known) if known else None
@@ -192,7 +192,7 @@ def score_documents(docs: DataFrame, model: Model, carry: list[str], id_col: str
             cols = [batch.column(0), pa.array(scores, pa.float64()), pa.array(spans, found)]
             yield pa.RecordBatch.from_arrays(cols, names=["row_", "score_", "offending_"])
 
-    return body.mapInArrow(run, schema)
+    return body.mapInArrow(tidy(run), schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

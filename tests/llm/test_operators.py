@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from panelgraph.llm import language_id
 from panelgraph.llm.language_id import fit as fit_language
 from panelgraph.llm.language_id import languages
 from panelgraph.llm.mixing import min_cost_flow, mix, targets
-from panelgraph.llm import labelled, ngram_jaccard, pii
+from panelgraph.llm import common, labelled, ngram_jaccard, pii
 from panelgraph.llm.ngram_jaccard import jaccard_components, needed, signatures
 from panelgraph.llm.pii import pseudonymise
 from panelgraph.llm.quality_rules import quality_rules
@@ -509,3 +510,49 @@ def test_unspaced_text_is_judged_whole(spark, monkeypatch):
 def _subwords_at_once(word):
     w = f"<{word}>".encode()
     return [zlib.crc32(x) % language_id.BUCKETS for x in [w, *[w[i : i + n] for n in (2, 3, 4) if n < len(w) for i in range(len(w) - n + 1)]]]
+
+
+def test_a_worker_gives_back_what_a_task_has_freed():
+    def resident():
+        return int(open("/proc/self/statm").read().split()[1]) * 4096
+
+    def run(batches):
+        for b in batches:
+            small = [bytearray(60_000) for _ in range(4000)]
+            small.append(bytearray(b"x" * 60_000))
+            keep.append(small[-1])  # lies above all others, so that the allocator can't lower its end
+            yield b
+            small.clear()
+
+    keep = []
+    batch = pa.RecordBatch.from_pydict({"a": [1, 2]})
+    before = resident()
+    assert list(common.tidy(run)(iter([batch, batch]))) == [batch, batch]
+    assert resident() - before < 60_000_000
+
+
+def test_a_large_heap_of_the_driver_is_collected_after_a_written_table(spark, monkeypatch):
+    class Jvm:
+        def __init__(self, total):
+            self.total, self.collected = total, 0
+            self._jvm = self.java = self.lang = self.Runtime = self.System = self
+
+        def getRuntime(self):
+            return self
+
+        def totalMemory(self):
+            return self.total
+
+        def maxMemory(self):
+            return 1000
+
+        def gc(self):
+            self.collected += 1
+
+    small, large = Jvm(400), Jvm(600)
+    common.tidy_driver(small)
+    common.tidy_driver(large)
+    assert (small.collected, large.collected) == (0, 1)
+    seen = []
+    monkeypatch.setattr(common, "tidy_driver", seen.append)
+    assert common.materialize(spark.range(5), "five").count() == 5 and seen == [spark]
